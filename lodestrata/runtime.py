@@ -54,6 +54,7 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.relpath(path, os.path.dirname(PACKAGE_ROOT)))
+    target = os.path.realpath(target)
     with open(target, "wb") as sink:
         sink.write(buffer.getvalue())
     context.addPyFile(target)
