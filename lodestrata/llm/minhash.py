@@ -325,7 +325,8 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = materialize(classes, "nd-nodes")  # written once, so the node numbers stay as they are
-    keys = _keys(nodes, p)
+    # Many small tasks keep the hash maps of the first aggregation small.
+    keys = _keys(nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), p)
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = materialize(shared.where("n > 1"), "nd-keys")
     crowded = shared.where("n > 2").select("key", F.col("lo"), "n")
