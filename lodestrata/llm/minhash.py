@@ -41,11 +41,20 @@ class NearDuplicateParams:
     chunks: int = 12
     chunk_symbols: int = 6
     errors: int = 1
-    slack: float = 6.5
+    slack: float = 5.0
     tile: int = 512
     broadcast_rows: int = 1_000_000
     seed: int = 17
 
+    def __post_init__(self):
+        if not 1 <= self.chunk_symbols - self.errors <= 6:
+            raise ValueError("an index key holds one to six symbols")
+
+    @property
+    def kept_symbols(self) -> list[tuple[int, ...]]:
+        """The symbols of a chunk that each of its keys keeps."""
+        return list(combinations(range(self.chunk_symbols), self.chunk_symbols - self.errors))
+
     @property
     def symbols(self) -> int:
         return self.chunks * self.chunk_symbols
@@ -118,7 +127,7 @@ def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
     """(key, node): every chunk with every choice of ``errors`` symbols blanked."""
 
     def run(batches):
-        keep = list(combinations(range(p.chunk_symbols), p.chunk_symbols - p.errors))
+        keep = p.kept_symbols
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -127,8 +136,7 @@ def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
             for k, chosen in enumerate(keep):
                 packed = np.broadcast_to(np.arange(p.chunks, dtype=np.uint64) * np.uint64(len(keep)) + np.uint64(k), symbols.shape[:2]).copy()
                 for place in chosen:
-                    # Up to six symbols are packed without loss; longer chunks are folded by a bijective mixer.
-                    packed = (textscan.mix(packed) if len(chosen) > 6 else packed) * np.uint64(256) + symbols[:, :, place]
+                    packed = packed * np.uint64(256) + symbols[:, :, place]
                 out[:, :, k] = packed
             width = out.shape[1] * out.shape[2]
             node = np.repeat(np.asarray(batch.column(0)), width)
@@ -240,7 +248,15 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
     its nearest partners; without, all close pairs are emitted.
     """
 
-    def tile_pairs(node, root, half, size, same, sig) -> tuple[np.ndarray, np.ndarray]:
+    blanks = p.kept_symbols
+
+    def first_key(equal: np.ndarray) -> np.ndarray:
+        """The number of the first key that each pair shares."""
+        equal = equal.reshape(len(equal), p.chunks, p.chunk_symbols)
+        shared = np.stack([equal[:, :, list(chosen)].all(axis=2) for chosen in blanks], axis=2).reshape(len(equal), p.chunks * len(blanks))
+        return shared.argmax(axis=1)
+
+    def tile_pairs(key, node, root, half, size, same, sig) -> tuple[np.ndarray, np.ndarray]:
         none = np.empty(0, np.int64)
         roots, counts = np.unique(root, return_counts=True)
         if len(roots) < 2:
@@ -250,7 +266,10 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
             others = np.flatnonzero((root != root[i]) & ((node > node[i]) if same else (half == 1)))
             least = np.minimum(size[others], size[i])
             others = others[100 * least >= p.percent * np.maximum(size[others], size[i])]
-            others = others[(sig[others] != sig[i]).sum(axis=1) <= p.distance]
+            equal = sig[others] == sig[i]
+            near = equal.sum(axis=1) >= p.symbols - p.distance
+            others, equal = others[near], equal[near]
+            others = others[first_key(equal) == key >> (8 * len(blanks[0]))]  # a pair is named by one key only
             out_a.append(np.full(len(others), i))
             out_b.append(others)
         x, y = (np.concatenate(part) if part else none for part in (out_a, out_b))
@@ -279,13 +298,13 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
             if batch is not None:  # the last group may go on in the next batch
                 held = table.slice(edges[-2])
                 edges = edges[:-1]
-            columns = [np.asarray(table.column(name)) for name in ("node", "root", "half", "n_shingles", "same")]
+            columns = [np.asarray(table.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "same")]
             text = table.column("signature").combine_chunks() if len(edges) > 1 else None
             found = []
             for at, to in zip(edges[:-1], edges[1:], strict=True):
                 sig = np.frombuffer(b"".join(text.slice(at, to - at).to_pylist()), np.uint8).reshape(-1, p.symbols)
-                node, root, half, size, same = (c[at:to] for c in columns)
-                found.append(tile_pairs(node, root, half, size, bool(same[0]), sig))
+                key, node, root, half, size, same = (c[at:to] for c in columns)
+                found.append(tile_pairs(int(key[0]), node, root, half, size, bool(same[0]), sig))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], names=["a", "b"])
 
@@ -305,7 +324,7 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
         )
     )
     dealt = tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> tuple[DataFrame, DataFrame]:
@@ -347,19 +366,20 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
     if first is not None:
         links.append(first)
     known: DataFrame | None = None
-    for name, nearest in (("nd-near", 2), ("nd-rest", None)):
+    # Nearest partners first, until that joins nothing more; then all close pairs that are left across components.
+    nearest: int | None = 2
+    while True:
         known = connected_components(reduce(DataFrame.union, links)) if links else None
         rooted = members.select("key", "node", "n")
         if known is not None:
             rooted = rooted.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
             rooted = rooted.withColumn("root", F.col("node"))
-        rooted = materialize(rooted, name + "-roots")
+        rooted = materialize(rooted, "nd-roots")
         # Keys with the same members are compared once.
         print_of = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"), F.first("n").alias("n")]
         mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), *print_of).where("r1 <> r2")
-        mixed = mixed.groupBy("x1", "x2", "n").agg(F.min("key").alias("key")).select("key")
-        mixed = materialize(mixed, name + "-mixed")
+        mixed = materialize(mixed.groupBy("x1", "x2", "n").agg(F.min("key").alias("key")).select("key"), "nd-mixed")
         if mixed.isEmpty():
             break
         open_members = (
@@ -367,10 +387,13 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             .join(nodes.select("node", "signature", "n_shingles"), "node")
             .withColumn("tiles", F.ceil(F.col("n") / p.tile))
         )
-        more = confirm(_cross_pairs(open_members, p, nearest), name)
-        if more is None:
+        more = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
+        joined = more is not None and not more.isEmpty()
+        if joined:
+            links.append(more)
+        if nearest is None:
             break
-        links.append(more)
+        nearest = nearest if joined else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))
         labelled = nodes.select("digest", "node", "min_doc").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
