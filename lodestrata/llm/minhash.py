@@ -242,10 +242,12 @@ def _chain(batches) -> Iterator[pa.Table | None]:
 def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None) -> DataFrame:
     """Candidate pairs of different components that share a key.
 
-    A key's members are dealt to tiles of bounded size, and every pair of tiles
-    is compared on signatures only; nothing but close pairs leaves a tile.
-    With ``nearest``, each node outside a tile's largest component emits just
-    its nearest partners; without, all close pairs are emitted.
+    A key's members of its largest component are dealt to tiles of bounded
+    size; its other members visit each of those tiles, and the pairs of tiles
+    that they make up themselves.  Tiles are compared on signatures only;
+    nothing but close pairs leaves one.  With ``nearest``, each node outside
+    the largest component emits just its nearest partners; without, all close
+    pairs are emitted.
     """
 
     blanks = p.kept_symbols
@@ -256,10 +258,9 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
         shared = np.stack([equal[:, :, list(chosen)].all(axis=2) for chosen in blanks], axis=2).reshape(len(equal), p.chunks * len(blanks))
         return shared.argmax(axis=1)
 
-    def tile_pairs(key, node, root, half, size, same, sig) -> tuple[np.ndarray, np.ndarray]:
+    def tile_pairs(key, node, root, half, size, inner, same, sig) -> tuple[np.ndarray, np.ndarray]:
         none = np.empty(0, np.int64)
-        roots, counts = np.unique(root, return_counts=True)
-        if len(roots) < 2:
+        if (root == root[0]).all():
             return none, none
         out_a, out_b = [], []
         for i in range(len(node)) if same else np.flatnonzero(half == 0):
@@ -277,7 +278,7 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
             far = (sig[x] != sig[y]).sum(axis=1)
             ends, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
             weight = np.concatenate([far, far])
-            small = root[ends] != roots[np.argmax(counts)]
+            small = (half[ends] == 1) | bool(inner)
             ends, pair, weight = ends[small], pair[small], weight[small]
             order = np.lexsort((pair, weight, ends))
             ends, pair = ends[order], pair[order]
@@ -292,38 +293,49 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
             table = held if batch is None else table
             if table is None or table.num_rows == 0:
                 continue
-            group = np.stack([np.asarray(table.column(name)) for name in ("key", "t1", "t2")])
+            group = np.stack([np.asarray(table.column(name)) for name in ("key", "inner", "t1", "t2")])
             edges = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
             edges = np.concatenate([[0], edges, [table.num_rows]])
             if batch is not None:  # the last group may go on in the next batch
                 held = table.slice(edges[-2])
                 edges = edges[:-1]
-            columns = [np.asarray(table.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "same")]
+            columns = [np.asarray(table.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "inner", "same")]
             text = table.column("signature").combine_chunks() if len(edges) > 1 else None
             found = []
             for at, to in zip(edges[:-1], edges[1:], strict=True):
                 sig = np.frombuffer(b"".join(text.slice(at, to - at).to_pylist()), np.uint8).reshape(-1, p.symbols)
-                key, node, root, half, size, same = (c[at:to] for c in columns)
-                found.append(tile_pairs(int(key[0]), node, root, half, size, bool(same[0]), sig))
+                key, node, root, half, size, inner, same = (c[at:to] for c in columns)
+                found.append(tile_pairs(int(key[0]), node, root, half, size, inner[0], bool(same[0]), sig))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], names=["a", "b"])
 
-    tiled = (
-        members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
-        .select(
-            "key",
-            "node",
-            "root",
-            "signature",
-            "n_shingles",
-            F.least("own", "other").alias("t1"),
-            F.greatest("own", "other").alias("t2"),
-            (F.col("own") > F.col("other")).cast("int").alias("half"),
-            (F.col("own") == F.col("other")).cast("int").alias("same"),
-        )
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("tiles")).otherwise(F.col("outer_tiles"))).cast("int")
+    place = F.struct
+    zero, one = F.lit(0), F.lit(1)
+    stay = F.array(place(zero.alias("inner"), F.col("own").alias("t1"), zero.alias("t2"), zero.alias("half"), zero.alias("same")))
+    visits = F.transform(
+        F.sequence(zero, F.col("tiles").cast("int") - 1),
+        lambda t: place(zero.alias("inner"), t.alias("t1"), zero.alias("t2"), one.alias("half"), zero.alias("same")),
+    )
+    among = F.transform(
+        F.sequence(zero, F.col("outer_tiles").cast("int") - 1),
+        lambda t: place(
+            one.alias("inner"),
+            F.least(t, F.col("own")).alias("t1"),
+            F.greatest(t, F.col("own")).alias("t2"),
+            (F.col("own") > t).cast("int").alias("half"),
+            (F.col("own") == t).cast("int").alias("same"),
+        ),
     )
-    dealt = tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    tiled = members.withColumn("own", own).select(
+        "key",
+        "node",
+        "root",
+        "signature",
+        "n_shingles",
+        F.inline(F.when(F.col("root") == F.col("major"), stay).otherwise(F.concat(visits, among))),
+    )
+    dealt = tiled.repartition("key", "inner", "t1", "t2").sortWithinPartitions("key", "inner", "t1", "t2")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -348,7 +360,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
     keys = _keys(nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), p)
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = materialize(shared.where("n > 1"), "nd-keys")
-    crowded = shared.where("n > 2").select("key", F.col("lo"), "n")
+    crowded = shared.where("n > 2").select("key", "lo")
     members = materialize(keys.join(_small(crowded, p.broadcast_rows // 2), "key"), "nd-members")
     pairs = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(
         members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
@@ -356,44 +368,58 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
     sets = _Sets(docs, nodes, p)
     links: list[DataFrame] = []
 
-    def confirm(candidates: DataFrame, name: str) -> DataFrame | None:
+    def confirm(candidates: DataFrame, name: str) -> float:
+        """Keep the true links of the candidates; returns their share."""
         close = materialize(candidates, name)
-        if close.isEmpty():
-            return None
-        return materialize(_verified(close, sets.covering(close), p), name + "-links")
+        tested = close.count()
+        if tested == 0:
+            return 0.0
+        links.append(materialize(_verified(close, sets.covering(close), p), name + "-links"))
+        return links[-1].count() / tested
 
-    first = confirm(_close_pairs(pairs.distinct(), nodes, p), "nd-star")
-    if first is not None:
-        links.append(first)
+    confirm(_close_pairs(pairs.distinct(), nodes, p), "nd-star")
     known: DataFrame | None = None
-    # Nearest partners first, until that joins nothing more; then all close pairs that are left across components.
+    # Nearest partners first, while that joins many; then all close pairs that are left across components.
     nearest: int | None = 2
     while True:
         known = connected_components(reduce(DataFrame.union, links)) if links else None
-        rooted = members.select("key", "node", "n")
+        rooted = members.select("key", "node")
         if known is not None:
             rooted = rooted.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
             rooted = rooted.withColumn("root", F.col("node"))
         rooted = materialize(rooted, "nd-roots")
         # Keys with the same members are compared once.
-        print_of = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"), F.first("n").alias("n")]
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), *print_of).where("r1 <> r2")
-        mixed = materialize(mixed.groupBy("x1", "x2", "n").agg(F.min("key").alias("key")).select("key"), "nd-mixed")
+        by_root = rooted.groupBy("key", "root").agg(
+            F.count(F.lit(1)).alias("here"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+        )
+        mixed = by_root.groupBy("key").agg(
+            F.count(F.lit(1)).alias("roots"),
+            F.sum("here").alias("n"),
+            F.max("here").alias("largest"),
+            F.max_by("root", "here").alias("major"),
+            F.bit_xor("x1").alias("x1"),
+            F.bit_xor("x2").alias("x2"),
+        )
+        mixed = (
+            mixed.where("roots > 1")
+            .groupBy("x1", "x2", "n")
+            .agg(F.min(F.struct("key", "major", "largest")).alias("k"))
+            .select(
+                "k.key",
+                "k.major",
+                F.ceil(F.col("k.largest") / p.tile).alias("tiles"),
+                F.ceil((F.col("n") - F.col("k.largest")) / p.tile).alias("outer_tiles"),
+            )
+        )
+        mixed = materialize(mixed, "nd-mixed")
         if mixed.isEmpty():
             break
-        open_members = (
-            rooted.join(_small(mixed, p.broadcast_rows // 2), "key", "left_semi")
-            .join(nodes.select("node", "signature", "n_shingles"), "node")
-            .withColumn("tiles", F.ceil(F.col("n") / p.tile))
-        )
-        more = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
-        joined = more is not None and not more.isEmpty()
-        if joined:
-            links.append(more)
+        open_members = rooted.join(_small(mixed, p.broadcast_rows // 4), "key").join(nodes.select("node", "signature", "n_shingles"), "node")
+        share = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
         if nearest is None:
             break
-        nearest = nearest if joined else None
+        nearest = nearest if share >= 0.05 else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))
         labelled = nodes.select("digest", "node", "min_doc").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
