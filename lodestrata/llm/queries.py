@@ -7,18 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import sql
+from lodestrata.llm.bpe import BpeParams, token_digests
+from lodestrata.llm.decontamination import contamination_report
+from lodestrata.llm.langid import identify_languages
 from lodestrata.llm.minhash import NearDuplicateParams, near_duplicates
+from lodestrata.llm.toxicity import toxicity
 from lodestrata.runtime import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary of the contract; only its path is known here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), BpeParams(tokenizer_path()))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDuplicateParams(shingle=2))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": sql.CONTAMINATION,
     "op7_minhash_near_dedup": sql.NEAR_DUPLICATES,
 }

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text that are scanned together; a single longer text is one slice.
 SLICE_BYTES = 1 << 20
@@ -155,3 +157,8 @@ def run_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows, kind="stable")
         rows, out = rows[order], out[order]
     return rows, out
+
+
+def schema_with(df: DataFrame, keep: list[str], added: str) -> StructType:
+    """The schema of the kept columns and of added ones, given as DDL."""
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
