@@ -270,7 +270,8 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
             equal = sig[others] == sig[i]
             near = equal.sum(axis=1) >= p.symbols - p.distance
             others, equal = others[near], equal[near]
-            others = others[first_key(equal) == key >> (8 * len(blanks[0]))]  # a pair is named by one key only
+            if nearest is None:  # a pair is named by one key only
+                others = others[first_key(equal) == key >> (8 * len(blanks[0]))]
             out_a.append(np.full(len(others), i))
             out_b.append(others)
         x, y = (np.concatenate(part) if part else none for part in (out_a, out_b))
@@ -408,6 +409,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             .select(
                 "k.key",
                 "k.major",
+                "n",
                 F.ceil(F.col("k.largest") / p.tile).alias("tiles"),
                 F.ceil((F.col("n") - F.col("k.largest")) / p.tile).alias("outer_tiles"),
             )
@@ -416,6 +418,11 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         if mixed.isEmpty():
             break
         open_members = rooted.join(_small(mixed, p.broadcast_rows // 4), "key").join(nodes.select("node", "signature", "n_shingles"), "node")
+        if nearest is not None:  # each node outside the largest component asks in its most crowded key
+            outer = open_members.where("root <> major")
+            asked = materialize(outer.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("key")), "nd-asked")
+            held = open_members.where("root = major").join(asked.select("key").distinct(), "key", "left_semi")
+            open_members = held.unionByName(outer.join(asked, ["node", "key"], "left_semi"))
         share = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
         if nearest is None:
             break
