@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm import sql
 from lodestrata.llm.bpe import BpeParams, token_digests
 from lodestrata.llm.decontamination import contamination_report
+from lodestrata.llm.knn import top_k
 from lodestrata.llm.langid import identify_languages
 from lodestrata.llm.minhash import NearDuplicateParams, near_duplicates
 from lodestrata.llm.toxicity import toxicity
@@ -38,6 +40,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDuplicateParams(shingle=2))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -47,10 +53,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": sql.CONTAMINATION,
     "op7_minhash_near_dedup": sql.NEAR_DUPLICATES,
+    "op9_exact_top_k": sql.TOP_K,
 }
