@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm import sql
 from lodestrata.llm.bpe import BpeParams, token_digests
 from lodestrata.llm.decontamination import contamination_report
+from lodestrata.llm.html import extract_pages
 from lodestrata.llm.knn import top_k
 from lodestrata.llm.langid import identify_languages
 from lodestrata.llm.minhash import NearDuplicateParams, near_duplicates
+from lodestrata.llm.pii import find_personal_data
 from lodestrata.llm.toxicity import toxicity
 from lodestrata.runtime import table
 
@@ -25,6 +27,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary of the contract; only its path is known here."""
     import public_tokenizers
@@ -40,6 +46,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDuplicateParams(shingle=2))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -51,8 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
