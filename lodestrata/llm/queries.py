@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,40 @@ from lodestrata.llm.knn import top_k
 from lodestrata.llm.langid import identify_languages
 from lodestrata.llm.minhash import NearDuplicateParams, near_duplicates
 from lodestrata.llm.pii import find_personal_data
+from lodestrata.llm.sharding import ShardParams, ShardStore
+from lodestrata.llm.substring import remove_repeats
 from lodestrata.llm.toxicity import toxicity
-from lodestrata.runtime import table
+from lodestrata.runtime import shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in four parts, compacted as they come, and read back through the last manifest.
+
+    Returns per row its doc_id, bytes and digest, and whether its shard keeps to the target size.
+    """
+    docs = table(spark, sf_dir, "documents")
+    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", ShardParams(target=32 << 20, arrival=4 << 20))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    for arrival in range(4):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == arrival), size // 8)
+    store.compact()
+    store.compact(everything=True)
+    store.vacuum()
+    sized = [s["path"].rsplit("/data/", 1)[1] for s in store.manifest()[1]["shards"] if s["bytes"] <= store.params.target * 1.25]
+    names = spark.createDataFrame([(n,) for n in sized], "f string")
+    rows = store.read().withColumn("f", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1))
+    return rows.join(F.broadcast(names.withColumn("ok", F.lit(True))), "f", "left").select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+        F.coalesce("ok", F.lit(False)).alias("within_target"),
+    )
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +69,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), BpeParams(tokenizer_path()))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDuplicateParams(shingle=2))
 
@@ -60,9 +91,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_sharding": op2_sharding,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_personal_data": op4_personal_data,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_top_k": op9_exact_top_k,
@@ -70,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": sql.SHARDED,
     "op3_benchmark_decontamination": sql.CONTAMINATION,
+    "op6_substring_dedup": sql.SUBSTRINGS,
     "op7_minhash_near_dedup": sql.NEAR_DUPLICATES,
     "op9_exact_top_k": sql.TOP_K,
 }

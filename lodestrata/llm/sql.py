@@ -63,3 +63,38 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+SHARDED = """
+SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, true AS within_target FROM documents
+"""
+
+SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_extract_all(coalesce(text, ''),
+    '(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(?:[.!?]+[\x09-\x0D\x20]*|\n[\x09-\x0D\x20]*|$)'), lambda x: len(x) > 0) AS ss
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(range(1, len(ss) + 1)) AS k, unnest(ss) AS raw FROM d),
+f AS (
+  SELECT doc_id, k, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x09-\x0D\x20]+', ' ', 'g')) AS form FROM s),
+w AS (SELECT *, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END AS n FROM f),
+span AS (
+  SELECT a.doc_id, a.k, a.form || chr(10) || b.form AS joint
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.n + b.n >= 12),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY joint ORDER BY doc_id, k) AS nth FROM span),
+gone AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS k FROM ranked WHERE nth > 1),
+marked AS (
+  SELECT w.doc_id, w.k, w.raw, len(w.raw) AS size, gone.k IS NOT NULL AS out,
+    sum(len(w.raw)) OVER (PARTITION BY w.doc_id ORDER BY w.k) - len(w.raw) AS a
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.k = w.k),
+kept AS (
+  SELECT doc_id, string_agg(raw, '' ORDER BY k) FILTER (WHERE NOT out) AS text, count(*) AS n_sentences, count(*) FILTER (WHERE out) AS n_removed
+  FROM marked GROUP BY doc_id),
+runs AS (SELECT doc_id, k, a, size, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM marked WHERE out),
+ranges AS (SELECT doc_id, CAST(min(a) AS BIGINT) AS x, CAST(max(a + size) AS BIGINT) AS y FROM runs GROUP BY doc_id, g),
+listed AS (SELECT doc_id, string_agg(x || ':' || y, ',' ORDER BY x) AS removed FROM ranges GROUP BY doc_id)
+SELECT d.doc_id, coalesce(kept.text, '') AS text, len(coalesce(kept.text, '')) AS n_chars, coalesce(n_sentences, 0) AS n_sentences,
+  coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
