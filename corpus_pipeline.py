@@ -1,11 +1,65 @@
-"""A five-stage training-data pipeline over ``documents`` (filled in as its operators land)."""
+"""A five-stage training-data pipeline over ``documents``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm.bpe import BpeParams, encode_documents
+from lodestrata.llm.decontamination import drop_contaminated
+from lodestrata.llm.langid import fit_filters, predict_language
+from lodestrata.llm.minhash import drop_near_duplicates
+from lodestrata.llm.pii import redact_documents
+from lodestrata.llm.queries import tokenizer_path
+from lodestrata.runtime import materialize, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of no recognised language; the others get the predicted one as ``lang``."""
+    columns = list(docs.columns)
+    found = predict_language(docs, fit_filters(docs), columns).where("lang_pred <> 'und' AND score > 0")
+    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a ten-word window of a benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by the names of its kinds."""
+    return redact_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token numbers of each document: doc_id, lang, source, n_tokens, token_ids."""
+    return encode_documents(docs, BpeParams(tokenizer_path()), ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("redact_personal_data", redact_personal_data),
+    ("tokenize", tokenize),
+]
+
+#: Language filters, span classifier and tokenizer are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
