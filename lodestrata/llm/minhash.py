@@ -182,8 +182,9 @@ class _Sets:
         self.docs, self.nodes, self.p = docs, nodes, p
         self.have: DataFrame | None = None
 
-    def covering(self, pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def covering(self, needed: DataFrame) -> DataFrame:
+        """(node, items) of at least the needed nodes."""
+        needed = needed.distinct()
         if self.have is not None:
             needed = needed.join(self.have.select("node"), "node", "left_anti")
         needed = materialize(needed.join(self.nodes.select("node", "digest", "min_doc"), "node"), "nd-needed")
@@ -288,27 +289,15 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
         return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in _chain(batches):
-            table = batch if held is None or batch is None else pa.concat_tables([held, batch])
-            table = held if batch is None else table
-            if table is None or table.num_rows == 0:
+        for group in _groups(batches, ("key", "inner", "t1", "t2")):
+            if group.num_rows < 2:
                 continue
-            group = np.stack([np.asarray(table.column(name)) for name in ("key", "inner", "t1", "t2")])
-            edges = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            edges = np.concatenate([[0], edges, [table.num_rows]])
-            if batch is not None:  # the last group may go on in the next batch
-                held = table.slice(edges[-2])
-                edges = edges[:-1]
-            columns = [np.asarray(table.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "inner", "same")]
-            text = table.column("signature").combine_chunks() if len(edges) > 1 else None
-            found = []
-            for at, to in zip(edges[:-1], edges[1:], strict=True):
-                sig = np.frombuffer(b"".join(text.slice(at, to - at).to_pylist()), np.uint8).reshape(-1, p.symbols)
-                key, node, root, half, size, inner, same = (c[at:to] for c in columns)
-                found.append(tile_pairs(int(key[0]), node, root, half, size, inner[0], bool(same[0]), sig))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], names=["a", "b"])
+            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, p.symbols)
+            key, node, root, half, size, inner, same = (
+                np.asarray(group.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "inner", "same")
+            )
+            left, right = tile_pairs(int(key[0]), node, root, half, size, inner[0], bool(same[0]), sig)
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
 
     own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("tiles")).otherwise(F.col("outer_tiles"))).cast("int")
     place = F.struct
@@ -340,6 +329,69 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _groups(batches, keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Whole groups of rows that are sorted by the keys."""
+    held: pa.Table | None = None
+    for batch in _chain(batches):
+        table = held if batch is None else batch if held is None else pa.concat_tables([held, batch])
+        if table is None or table.num_rows == 0:
+            continue
+        values = np.stack([np.asarray(table.column(name)) for name in keys])
+        edges = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+        if batch is not None:  # the last group may go on in the next batch
+            held = table.slice(edges[-2])
+            edges = edges[:-1]
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(at, to - at)
+
+
+def _outlier_links(visits: DataFrame, stays: DataFrame, nodes: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """At most one true link of each visiting node into each tile of a component.
+
+    Components and their visitors are dealt to tiles of bounded size; a tile
+    holds whole sets, so it is exact and only links leave it.
+    """
+
+    def run(batches):
+        for group in _groups(batches, ("root", "t1", "t2")):
+            half = np.asarray(group.column("visitor"))
+            node, size = np.asarray(group.column("node")), np.asarray(group.column("n_shingles"))
+            own, guests = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+            if len(own) == 0 or len(guests) == 0:
+                continue
+            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, p.symbols)
+            items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+            a, b = [], []
+            for guest in guests:
+                far = (sig[own] != sig[guest]).sum(axis=1)
+                fits = (far <= p.distance) & (100 * np.minimum(size[own], size[guest]) >= p.percent * np.maximum(size[own], size[guest]))
+                for other in own[fits][np.argsort(far[fits], kind="stable")]:
+                    x, y = items[guest], items[other]
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    common = int((y[at] == x).sum())
+                    if 100 * common >= p.percent * (len(x) + len(y) - common):
+                        a.append(min(node[guest], node[other]))
+                        b.append(max(node[guest], node[other]))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / p.tile).cast("int").alias(name))
+
+    sizes = tiles(stays, "n1").join(tiles(visits, "n2"), "root")
+
+    def dealt(df: DataFrame, visitor: int, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        rows = df.join(sizes, "root").select("root", "node", place.alias("t1" if visitor == 0 else "t2"), each.alias("t2" if visitor == 0 else "t1"))
+        return rows.select("root", "t1", "t2", "node", F.lit(visitor).alias("visitor"))
+
+    rows = dealt(stays, 0, "n1", "n2").unionByName(dealt(visits, 1, "n2", "n1"))
+    rows = rows.join(nodes.select("node", "signature", "n_shingles"), "node").join(sets, "node")
+    rows = rows.select("root", "t1", "t2", "visitor", "node", "n_shingles", "signature", "items")
+    return rows.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2").mapInArrow(run, "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): each document's set digest, and each distinct set's component.
 
@@ -375,7 +427,8 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         tested = close.count()
         if tested == 0:
             return 0.0
-        links.append(materialize(_verified(close, sets.covering(close), p), name + "-links"))
+        ends = close.select(F.col("a").alias("node")).union(close.select("b"))
+        links.append(materialize(_verified(close, sets.covering(ends), p), name + "-links"))
         return links[-1].count() / tested
 
     confirm(_close_pairs(pairs.distinct(), nodes, p), "nd-star")
@@ -423,9 +476,15 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             asked = materialize(outer.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("key")), "nd-asked")
             held = open_members.where("root = major").join(asked.select("key").distinct(), "key", "left_semi")
             open_members = held.unionByName(outer.join(asked, ["node", "key"], "left_semi"))
-        share = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
-        if nearest is None:
+        else:  # the rest: against the largest components by whole sets, and among each other by close pairs
+            outer = open_members.where("root <> major")
+            visits = materialize(outer.select("node", F.col("major").alias("root")).distinct(), "nd-visits")
+            stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
+            whole = sets.covering(visits.select("node").union(stays.select("node")))
+            links.append(materialize(_outlier_links(visits, stays, nodes, whole, p), "nd-outlier-links"))
+            confirm(_cross_pairs(outer, p, None), "nd-cross")
             break
+        share = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
         nearest = nearest if share >= 0.05 else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))
