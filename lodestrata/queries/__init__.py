@@ -1,9 +1,9 @@
 """Registry of the engine's own queries."""
 
-from lodestrata.queries import relational
+from lodestrata.queries import graphs, relational
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (relational,):
+for _module in (relational, graphs):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
