@@ -240,7 +240,7 @@ def _chain(batches) -> Iterator[pa.Table | None]:
     yield None
 
 
-def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None) -> DataFrame:
+def _cross_pairs(members: DataFrame, nodes: DataFrame, p: NearDuplicateParams, nearest: int | None) -> DataFrame:
     """Candidate pairs of different components that share a key.
 
     A key's members of its largest component are dealt to tiles of bounded
@@ -317,6 +317,7 @@ def _cross_pairs(members: DataFrame, p: NearDuplicateParams, nearest: int | None
             (F.col("own") == t).cast("int").alias("same"),
         ),
     )
+    members = members.join(nodes.select("node", "signature", "n_shingles"), "node")
     tiled = members.withColumn("own", own).select(
         "key",
         "node",
@@ -470,7 +471,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         mixed = materialize(mixed, "nd-mixed")
         if mixed.isEmpty():
             break
-        open_members = rooted.join(_small(mixed, p.broadcast_rows // 4), "key").join(nodes.select("node", "signature", "n_shingles"), "node")
+        open_members = rooted.join(_small(mixed, p.broadcast_rows // 4), "key")
         if nearest is not None:  # each node outside the largest component asks in its most crowded key
             outer = open_members.where("root <> major")
             asked = materialize(outer.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("key")), "nd-asked")
@@ -482,9 +483,9 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
             whole = sets.covering(visits.select("node").union(stays.select("node")))
             links.append(materialize(_outlier_links(visits, stays, nodes, whole, p), "nd-outlier-links"))
-            confirm(_cross_pairs(outer, p, None), "nd-cross")
+            confirm(_cross_pairs(outer, nodes, p, None), "nd-cross")
             break
-        share = confirm(_cross_pairs(open_members, p, nearest), "nd-cross")
+        share = confirm(_cross_pairs(open_members, nodes, p, nearest), "nd-cross")
         nearest = nearest if share >= 0.05 else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))
