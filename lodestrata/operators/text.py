@@ -30,6 +30,10 @@ def bm25_tokens(column: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
 
 
+def _is(term: str):
+    return lambda word: word == term
+
+
 def bm25(docs: DataFrame, query: str, id_column: str = "id", text_column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a query word, by Okapi BM25 over the whole corpus.
 
@@ -38,7 +42,7 @@ def bm25(docs: DataFrame, query: str, id_column: str = "id", text_column: str =
     """
     terms = [w for w in dict.fromkeys(re.findall(r"[^\W_]+(?:_+[^\W_]+)*|\w+", query.lower())) if w not in STOP_WORDS]
     tokens = docs.select(F.col(id_column).alias("id"), bm25_tokens(F.col(text_column)).alias("w"))
-    counts = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counts = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     per_doc = tokens.select("id", F.size("w").alias("dl"), *counts)
     stats = per_doc.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
@@ -102,7 +106,7 @@ def passage_scores(found: DataFrame, query: str) -> DataFrame:
     scored = found.withColumn("w", words)
     total, matched = F.lit(0.0), F.lit(0)
     for t in terms:
-        tf = F.size(F.filter("w", lambda x, t=t: x == t))
+        tf = F.size(F.filter("w", _is(t)))
         total = total + tf / (tf + F.lit(1.2))
         matched = matched + (tf > 0).cast("int")
     score = total * (matched / F.lit(float(max(1, len(terms))))) * (1 / (1 + F.size("w") / F.lit(240.0)))
