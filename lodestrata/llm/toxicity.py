@@ -25,19 +25,20 @@ class ToxicityParams:
     """``max_per_class``: bound on the labelled rows of each class that are fitted.
 
     ``max_bytes``: bound on their bytes of text together; fewer rows are drawn
-    where texts are long.  Rows are drawn by a hash, whole texts always.
+    where texts are long.  Rows are drawn by a hash, whole texts always, and
+    fitted in one task.
     """
 
     orders: tuple[int, ...] = (3, 4, 5)
     bucket_bits: int = 18
-    dim: int = 4
+    dim: int = 2
     max_per_class: int = 3000
-    max_bytes: int = 24_000_000
+    max_bytes: int = 16_000_000
     min_docs: int = 40
-    rounds: int = 60
-    rate: float = 0.4
-    decay: float = 1e-4
-    damping: float = 1.0
+    rounds: int = 150
+    rate: float = 3.0
+    decay: float = 1e-5
+    damping: float = 15.0
     aside: float = 0.15
     seed: int = 11
     threshold: float = 0.7
@@ -146,8 +147,8 @@ def _csr(row: np.ndarray, col: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.
 def _sum_rows(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     out = np.zeros((len(edges) - 1, values.shape[1]), dtype=np.float32)
     full = np.flatnonzero(np.diff(edges) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(values, edges[full], axis=0)
+    for column in range(values.shape[1] if len(full) else 0):  # contiguous columns sum faster
+        out[full, column] = np.add.reduceat(np.ascontiguousarray(values[:, column]), edges[full])
     return out
 
 
@@ -232,27 +233,27 @@ def _train(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> ToxicityM
                 fresh[first[k]] = True
             ids[k] = known
         words = ids[inverse]
-        word_rows.append(bags.rows + base)
-        word_ids.append(words)
+        word_rows.append((bags.rows + base).astype(np.int32))
+        word_ids.append(words.astype(np.int32))
         base += len(part)
         new = np.flatnonzero(fresh)
-        sub_word.append(words[new])
-        sub_bucket.append(bags.word_buckets()[new])
-        owner = np.full(len(bags.value), -1, np.int64)
+        sub_word.append(words[new].astype(np.int32))
+        sub_bucket.append(bags.word_buckets()[new].astype(np.int32))
         for n, valid, found in bags.orders():
-            owner[:] = -1
             length = bags.ends[new] - bags.starts[new]
             counts = np.maximum(length + 3 - n, 0)
             place = np.repeat(bags.starts[new] - 1, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            sub_word.append(np.repeat(words[new], counts))
-            sub_bucket.append(found[place].astype(np.int64))
+            sub_word.append(np.repeat(words[new].astype(np.int32), counts))
+            sub_bucket.append(found[place].astype(np.int32))
     if not seen:
         return flat
     rows, words = np.concatenate(word_rows), np.concatenate(word_ids)
-    pairs, times = np.unique(rows * len(seen) + words, return_counts=True)
-    rows, words = pairs // len(seen), pairs % len(seen)
+    pairs, times = np.unique(rows.astype(np.int64) * len(seen) + words, return_counts=True)
+    rows, words = (pairs // len(seen)).astype(np.int32), (pairs % len(seen)).astype(np.int32)
+    del pairs, word_rows, word_ids
     sub_word, sub_bucket = np.concatenate(sub_word), np.concatenate(sub_bucket)
     n_docs, n_words = len(texts), len(seen)
+    del seen
     doc_total = np.maximum(np.bincount(rows, weights=times, minlength=n_docs), 1)
     weight = (times / doc_total[rows]).astype(np.float32)
     bag_size = np.maximum(np.bincount(sub_word, minlength=n_words), 1).astype(np.float32)
@@ -261,7 +262,10 @@ def _train(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> ToxicityM
     used = np.bincount(sub_bucket, weights=doc_words[sub_word], minlength=buckets) >= p.min_docs
     keep = used[sub_bucket]
     sub_word, sub_bucket = sub_word[keep], sub_bucket[keep]
-    live, sub_live = np.unique(sub_bucket, return_inverse=True)
+    live = np.flatnonzero(np.bincount(sub_bucket, minlength=buckets))
+    sub_live = np.zeros(buckets, dtype=np.int32)
+    sub_live[live] = np.arange(len(live), dtype=np.int32)
+    sub_live = sub_live[sub_bucket]
     by_word, word_edges = _csr(sub_word, sub_live, n_words)
     by_bucket, bucket_edges = _csr(sub_live, sub_word, len(live))
     order_d = np.argsort(rows, kind="stable")
@@ -321,10 +325,21 @@ def fit_from(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) -> Toxic
     for label, (n, size) in sizes.items():
         share = min(1.0, p.max_per_class * (2 if label == 0 else 1) / n, p.max_bytes / len(sizes) / max(size or 1, 1))
         chance = F.when(F.col("toxic") == label, F.lit(share)).otherwise(chance)
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1 << 30)) < chance * (1 << 30)).toPandas()
-    drawn = drawn.sort_values(["toxic", "text"])
-    total = sum(n for n, _ in sizes.values())
-    return fit(drawn["text"].tolist(), drawn["toxic"].to_numpy(), p, prior=sizes.get(1, (0, 0))[0] / total)
+    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1 << 30)) < chance * (1 << 30))
+    prior = sizes.get(1, (0, 0))[0] / sum(n for n, _ in sizes.values())
+
+    def run(batches):
+        known = sorted((int(toxic), text) for batch in batches for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit([t for _, t in known], np.array([y for y, _ in known]), p, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], names=["model", "bias"])
+
+    ship(labelled.sparkSession)
+    small_batches(labelled.sparkSession)
+    # The sample is bounded, so one executor fits it; the driver gets one number per bucket.
+    found = drawn.repartition(1).mapInArrow(run, "model binary, bias double").collect()
+    if not found:
+        return fit([], np.empty(0), p)
+    return ToxicityModel(np.frombuffer(found[0]["model"], np.float32), found[0]["bias"], p)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
