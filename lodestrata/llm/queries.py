@@ -36,9 +36,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     for arrival in range(4):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == arrival), size // 8)
-    store.compact()
-    store.compact(everything=True)
-    store.vacuum()
+    for everything in (False, True):
+        store.compact(everything)
+        store.vacuum()
     sized = [s["path"].rsplit("/data/", 1)[1] for s in store.manifest()[1]["shards"] if s["bytes"] <= store.params.target * 1.25]
     names = spark.createDataFrame([(n,) for n in sized], "f string")
     rows = store.read().withColumn("f", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1))

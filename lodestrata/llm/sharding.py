@@ -100,8 +100,8 @@ class ShardStore:
         """
         base, manifest = self.manifest()
         folder = f"{self.path}/data/append-{uuid.uuid4().hex}"
-        if size_hint is not None:
-            df = df.repartition(max(1, math.ceil(size_hint / self.params.arrival)))
+        if size_hint is not None:  # fewer tasks write fewer shards; nothing is shuffled
+            df = df.coalesce(max(1, math.ceil(size_hint / self.params.arrival)))
         df.write.parquet(folder)
         shards = [s for s in self._written(folder) if s.rows]
         contents = {"schema": manifest["schema"] or df.schema.json(), "shards": manifest["shards"] + [asdict(s) for s in shards]}
@@ -133,19 +133,27 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self, everything: bool = False) -> int:
-        """Merge planned groups, each into one file, in one job; returns the version then current."""
+        """Merge planned groups into target-sized files in one job; returns the version then current."""
         base, manifest = self.manifest()
         shards = [Shard(**s) for s in manifest["shards"]]
         groups = self.plan(shards, everything)
         if not groups:
             return base
         folder = f"{self.path}/data/merge-{uuid.uuid4().hex}"
-        of = [(s.path.rsplit("/data/", 1)[1], number) for number, group in enumerate(groups) for s in group]
-        chosen = self.spark.createDataFrame(of, "_file string, _group long")  # a part of the manifest's own size
-        old = self._read([s for group in groups for s in group], manifest["schema"])
-        named = old.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1))
-        merged = named.join(F.broadcast(chosen), "_file").drop("_file")
-        merged.repartition(len(groups), "_group").write.partitionBy("_group").parquet(folder)
+        # A scan packs whole small files into partitions of the target size, so the merge needs no shuffle.
+        packing = {
+            "spark.sql.files.maxPartitionBytes": str(self.params.target),
+            "spark.sql.files.openCostInBytes": "0",
+            "spark.sql.files.minPartitionNum": "1",
+        }
+        before = {key: self.spark.conf.get(key, None) for key in packing}
+        try:
+            for key, value in packing.items():
+                self.spark.conf.set(key, value)
+            self._read([s for group in groups for s in group], manifest["schema"]).write.parquet(folder)
+        finally:
+            for key, value in before.items():
+                self.spark.conf.set(key, value) if value is not None else self.spark.conf.unset(key)
         gone = {s.path for group in groups for s in group}
         kept = [asdict(s) for s in shards if s.path not in gone]
         return self.commit(base, {"schema": manifest["schema"], "shards": kept + [asdict(s) for s in self._written(folder)]})
