@@ -71,7 +71,7 @@ SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, sha256(coalesce(text, ''))
 SUBSTRINGS = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_extract_all(coalesce(text, ''),
-    '(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(?:[.!?]+[\x09-\x0D\x20]*|\n[\x09-\x0D\x20]*|$)'), lambda x: len(x) > 0) AS ss
+    '[\x09-\x0D\x20]*(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(?:[.!?]+[\x09-\x0D\x20]*|\n[\x09-\x0D\x20]*|$)'), lambda x: len(x) > 0) AS ss
   FROM documents),
 s AS (
   SELECT doc_id, unnest(range(1, len(ss) + 1)) AS k, unnest(ss) AS raw FROM d),

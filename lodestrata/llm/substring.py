@@ -7,7 +7,6 @@ then place) stays, and sentences that any other occurrence covers are removed.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
@@ -20,8 +19,7 @@ from lodestrata.llm import textscan
 from lodestrata.runtime import materialize, ship, small_batches
 
 #: A sentence ends with .!? before white space, or with a line; white space after it belongs to it.
-SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(?:[.!?]+[\x09-\x0D\x20]*|\n[\x09-\x0D\x20]*|$)")
-_LOWER = {code: code + 32 for code in range(65, 91)}
+SENTENCE = re.compile(r"[\x09-\x0D\x20]*(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(?:[.!?]+[\x09-\x0D\x20]*|\n[\x09-\x0D\x20]*|$)")
 
 
 @dataclass(frozen=True)
@@ -37,40 +35,66 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if m.end() > m.start()]
 
 
-def normal_form(sentence: str) -> str:
-    """A-Z as a-z, and ASCII white space as single spaces without any at the ends."""
-    return " ".join(re.split(r"[\x09-\x0D\x20]+", sentence.translate(_LOWER).strip("\t\n\x0b\x0c\r ")))
-
-
-def span_hashes(text: str, p: SubstringParams) -> list[tuple[int, int]]:
-    """(sentence number, signed 64-bit hash) of each span that is long enough."""
-    forms = [normal_form(text[a:b]) for a, b in sentences(text)]
-    words = [len(f.split(" ")) if f else 0 for f in forms]
-    out = []
-    for at in range(len(forms) - p.run + 1):
-        if sum(words[at : at + p.run]) >= p.min_words:
-            joined = "\n".join(forms[at : at + p.run]).encode()
-            out.append((at, int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)))
-    return out
+class SentenceIndex:
+    """Sentences of a slice of rows as runs of words, found on the bytes of the whole slice."""
+
+    def __init__(self, column: pa.Array):
+        words = textscan.scan(column, textscan.SPACED)
+        self.words, n = words, len(words.hashes)
+        opens = np.ones(n, dtype=bool)
+        if n > 1:
+            closed = np.isin(words.buf[words.ends[:-1] - 1], np.frombuffer(b".!?", np.uint8))
+            lines = np.concatenate([[0], np.cumsum(words.buf == 10)])
+            broken = lines[words.starts[1:]] > lines[words.ends[:-1]]
+            opens[1:] = closed | broken | (words.rows[1:] != words.rows[:-1])
+        self.first = np.flatnonzero(opens)  # first word of each sentence
+        self.last = np.append(self.first[1:], n)[: len(self.first)]
+        self.rows = words.rows[self.first] if n else np.empty(0, np.int64)
+        self.edges = np.searchsorted(self.rows, np.arange(words.n_rows + 1))
+
+    def spans(self, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, sentence numbers, hashes, second hashes) of the spans that are long enough."""
+        n = len(self.first) - p.run + 1
+        if n <= 0:
+            none = np.empty(0, np.int64)
+            return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        a, b = self.first[:n], self.last[p.run - 1 :]
+        long = (self.rows[:n] == self.rows[p.run - 1 :]) & (b - a >= p.min_words)
+        up, down = textscan._power_tables(len(self.words.hashes) + 1)
+        total = np.zeros(len(self.words.hashes) + 1, dtype=np.uint64)
+        np.cumsum(self.words.hashes * up[: len(self.words.hashes)], out=total[1:])
+        other = np.zeros(len(self.words.hashes) + 1, dtype=np.uint64)
+        np.cumsum(textscan.mix(self.words.hashes + np.uint64(0x51ED270B)) * up[: len(self.words.hashes)], out=other[1:])
+        at = np.flatnonzero(long)
+        a, b = a[at], b[at]
+        shape = np.zeros(len(at), dtype=np.uint64)  # where the sentences of the span end
+        for k in range(p.run):
+            shape = textscan.mix(shape + (self.last[at + k] - a).astype(np.uint64))
+        one = textscan.mix((total[b] - total[a]) * down[a] + shape)
+        two = textscan.mix((other[b] - other[a]) * down[a] ^ shape)
+        return self.rows[at], at - self.edges[self.rows[at]], one, two
 
 
 def _spans(docs: DataFrame, p: SubstringParams) -> DataFrame:
+    """(span, check, doc_id, print, place): 96 bits name a span."""
+
     def run(batches):
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                rows, places, hashes = [], [], []
-                for row, text in enumerate(part.column(2).to_pylist()):
-                    found = span_hashes(text, p) if text else []
-                    rows += [row] * len(found)
-                    places += [at for at, _ in found]
-                    hashes += [h for _, h in found]
-                at = pa.array(np.array(rows, dtype=np.int64))
+                rows, places, one, two = SentenceIndex(part.column(2)).spans(p)
+                at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(places, pa.int32())],
-                    names=["span", "doc_id", "print", "place"],
+                    [
+                        pa.array(one.view(np.int64)),
+                        pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        part.column(0).take(at),
+                        part.column(1).take(at),
+                        pa.array(places.astype(np.int32)),
+                    ],
+                    names=["span", "check", "doc_id", "print", "place"],
                 )
 
-    return docs.select("doc_id", "print", "text").mapInArrow(run, "span long, doc_id long, print long, place int")
+    return docs.select("doc_id", "print", "text").mapInArrow(run, "span long, check int, doc_id long, print long, place int")
 
 
 def _cut(text: str, places: list[int], run: int) -> tuple[str, int, list[tuple[int, int]]]:
@@ -103,8 +127,8 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
     spans = _spans(own, p)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("place").alias("k"))
     # The first occurrence is the least of four plain columns, kept by a hash aggregation on the map side too.
-    firsts = spans.groupBy("span").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = spans.join(firsts.select("span", "first"), "span").where(
+    firsts = spans.groupBy("span", "check").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = spans.join(firsts.select("span", "check", "first"), ["span", "check"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("print") == F.col("first.p")) & (F.col("place") == F.col("first.k")))
     )
     places = materialize(again.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("place")).alias("places")), "substring-places")
@@ -113,24 +137,25 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
 
     def run(batches):
         for batch in batches:
-            texts, removed = [], []
-            total, gone = [], []
-            for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, n, where = _cut(text, at or [], p.run)
-                texts.append(kept)
-                gone.append(n)
-                total.append(len(sentences(text)))
-                removed.append(",".join(f"{a}:{b}" for a, b in where))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(total, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array(removed, pa.string()),
-                ],
-                names=["doc_id", "text", "n_chars", "n_sentences", "n_removed", "removed"],
-            )
+            for part in textscan.slices(batch, "text"):
+                texts, gone, removed = part.column(1).to_pylist(), np.zeros(part.num_rows, np.int64), [""] * part.num_rows
+                total = np.diff(SentenceIndex(part.column(1)).edges)
+                for row, at in enumerate(part.column(2).to_pylist()):
+                    if total[row] == 0 and texts[row]:
+                        total[row] = 1  # white space alone
+                    if at:
+                        texts[row], gone[row], where = _cut(texts[row], at, p.run)
+                        removed[row] = ",".join(f"{a}:{b}" for a, b in where)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(texts, pa.string()),
+                        pa.array([len(t) for t in texts], pa.int64()),
+                        pa.array(total),
+                        pa.array(gone),
+                        pa.array(removed, pa.string()),
+                    ],
+                    names=["doc_id", "text", "n_chars", "n_sentences", "n_removed", "removed"],
+                )
 
     return joined.mapInArrow(run, "doc_id long, text string, n_chars long, n_sentences long, n_removed long, removed string")
