@@ -1,9 +1,9 @@
 """Registry of the engine's own queries."""
 
-from lodestrata.queries import graphs, relational, retrieval
+from lodestrata.queries import graphs, relational, retrieval, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (relational, graphs, retrieval):
+for _module in (relational, graphs, retrieval, streams):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
