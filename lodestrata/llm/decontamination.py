@@ -116,7 +116,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select("text").mapInArrow(textscan.released(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max(len(vocabulary), 1), dtype=np.int64)
     for row in counted:  # at most the block's vocabulary
         out[row["word"]] = row["n"]
@@ -175,7 +175,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], p
                         names=[*keep, "_text", "_hits", "_items"],
                     )
 
-        state = state.mapInArrow(run, state.schema)
+        state = state.mapInArrow(textscan.released(run), state.schema)
 
     def finish(batches):
         for batch in batches:
@@ -189,7 +189,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], p
                 )
 
     schema = textscan.schema_with(docs, keep, "n_words long, n_hit long, items array<long>")
-    return state.mapInArrow(finish, schema)
+    return state.mapInArrow(textscan.released(finish), schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:

@@ -236,4 +236,4 @@ def extract_pages(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, textscan.schema_with(pages, ["page_id", "url"], "text string, n_chars long"))
+    return pages.select("page_id", "url", "html").mapInArrow(textscan.released(run), textscan.schema_with(pages, ["page_id", "url"], "text string, n_chars long"))

@@ -157,7 +157,7 @@ def fit_filters(labelled: DataFrame, p: LanguageParams = LanguageParams()) -> La
                         names=["lang", "gram", "n"],
                     )
 
-    counts = drawn.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.mapInArrow(textscan.released(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     rates = rates.where(F.col("rate") >= p.min_rate)
@@ -177,19 +177,20 @@ def predict_language(docs: DataFrame, filters: LanguageFilters, keep: list[str])
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
+    place = keep.index("text") if "text" in keep else len(keep)
     sent = spark.sparkContext.broadcast(filters)  # bounded by 1 / min_rate n-grams of each language
 
     def run(batches):
         own = sent.value
         for batch in batches:
-            for part in textscan.slices(batch, "_text"):
-                names, score = own.predict(part.column(len(keep)))
+            for part in textscan.slices(batch, "text"):
+                names, score = own.predict(part.column(place))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"]
                 )
 
     schema = textscan.schema_with(docs, keep, "lang_pred string, score double")
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if place < len(keep) else ["text"])).mapInArrow(textscan.released(run), schema)
 
 
 def identify_languages(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:

@@ -118,8 +118,7 @@ def _profile(docs: DataFrame, p: NearDuplicateParams) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, signature binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textscan.released(run), "doc_id long, n_shingles long, digest binary, signature binary"
     )
 
 
@@ -142,7 +141,7 @@ def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
             node = np.repeat(np.asarray(batch.column(0)), width)
             yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "signature").mapInArrow(textscan.released(run), "key long, node long")
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -171,7 +170,7 @@ def _close_pairs(pairs: DataFrame, nodes: DataFrame, p: NearDuplicateParams) ->
     return (
         joined.where(100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))
         .select("a", "b", "sa", "sb")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(textscan.released(run), "a long, b long")
     )
 
 
@@ -210,7 +209,7 @@ class _Sets:
         chosen = docs.join(_small(ids.dropna(), p.broadcast_rows), "doc_id", "left_semi")
         if not ids.where("doc_id is null").isEmpty():
             chosen = chosen.union(docs.where("doc_id is null"))
-        found = chosen.select("text").mapInArrow(run, "digest binary, items binary")
+        found = chosen.select("text").mapInArrow(textscan.released(run), "digest binary, items binary")
         # Rows that repeat an id or a set give the same digest; one of them is enough.
         wanted = needed.select("node", "digest")
         return found.join(_small(wanted, p.broadcast_rows // 4), "digest").groupBy("node").agg(F.first("items").alias("items"))
@@ -230,7 +229,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> Data
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(textscan.released(run), "a long, b long")
 
 
 def _chain(batches) -> Iterator[pa.Table | None]:
@@ -327,7 +326,7 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, p: NearDuplicateParams, n
         F.inline(F.when(F.col("root") == F.col("major"), stay).otherwise(F.concat(visits, among))),
     )
     dealt = tiled.repartition("key", "inner", "t1", "t2").sortWithinPartitions("key", "inner", "t1", "t2")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(textscan.released(run), "a long, b long")
 
 
 def _groups(batches, keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -390,7 +389,7 @@ def _outlier_links(visits: DataFrame, stays: DataFrame, nodes: DataFrame, sets:
     rows = dealt(stays, 0, "n1", "n2").unionByName(dealt(visits, 1, "n2", "n1"))
     rows = rows.join(nodes.select("node", "signature", "n_shingles"), "node").join(sets, "node")
     rows = rows.select("root", "t1", "t2", "visitor", "node", "n_shingles", "signature", "items")
-    return rows.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2").mapInArrow(run, "a long, b long")
+    return rows.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2").mapInArrow(textscan.released(run), "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> tuple[DataFrame, DataFrame]:

@@ -270,7 +270,7 @@ def fit_classifier(docs: DataFrame, threshold: float = 0.5) -> SpanClassifier:
             names=["kind", "votes", "features", "n"],
         )
 
-    counted = docs.select("text").mapInArrow(run, "kind string, votes array<int>, features array<int>, n long")
+    counted = docs.select("text").mapInArrow(textscan.released(run), "kind string, votes array<int>, features array<int>, n long")
     rows = counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()
     return train([(r["kind"], tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in rows], threshold)
 
@@ -306,7 +306,7 @@ def find_personal_data(docs: DataFrame, classifier: SpanClassifier | None = None
             )
 
     added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, textscan.schema_with(docs, ["doc_id"], added))
+    return docs.select("doc_id", "text").mapInArrow(textscan.released(run), textscan.schema_with(docs, ["doc_id"], added))
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -340,7 +340,7 @@ def redact_documents(docs: DataFrame, classifier: SpanClassifier | None = None)
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(textscan.released(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
     return out

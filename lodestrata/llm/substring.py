@@ -94,7 +94,7 @@ def _spans(docs: DataFrame, p: SubstringParams) -> DataFrame:
                     names=["span", "check", "doc_id", "print", "place"],
                 )
 
-    return docs.select("doc_id", "print", "text").mapInArrow(run, "span long, check int, doc_id long, print long, place int")
+    return docs.select("doc_id", "print", "text").mapInArrow(textscan.released(run), "span long, check int, doc_id long, print long, place int")
 
 
 def _cut(text: str, places: list[int], run: int) -> tuple[str, int, list[tuple[int, int]]]:
@@ -158,4 +158,4 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
                     names=["doc_id", "text", "n_chars", "n_sentences", "n_removed", "removed"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_chars long, n_sentences long, n_removed long, removed string")
+    return joined.mapInArrow(textscan.released(run), "doc_id long, text string, n_chars long, n_sentences long, n_removed long, removed string")

@@ -8,13 +8,15 @@ belongs to a word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are scanned together; a single longer text is one slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -162,3 +164,21 @@ def run_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def schema_with(df: DataFrame, keep: list[str], added: str) -> StructType:
     """The schema of the kept columns and of added ones, given as DDL."""
     return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
+
+
+def released(run):
+    """``run`` for mapInArrow, giving memory that a task has freed back to the system when the task ends.
+
+    Workers stay alive between tasks, so what they hold idle would count
+    against the executor.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return whole

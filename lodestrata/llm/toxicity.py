@@ -336,7 +336,7 @@ def fit_from(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) -> Toxic
     ship(labelled.sparkSession)
     small_batches(labelled.sparkSession)
     # The sample is bounded, so one executor fits it; the driver gets one number per bucket.
-    found = drawn.repartition(1).mapInArrow(run, "model binary, bias double").collect()
+    found = drawn.repartition(1).mapInArrow(textscan.released(run), "model binary, bias double").collect()
     if not found:
         return fit([], np.empty(0), p)
     return ToxicityModel(np.frombuffer(found[0]["model"], np.float32), found[0]["bias"], p)
@@ -363,7 +363,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
                 )
 
     schema = textscan.schema_with(docs, keep, "score double, predicted int")
-    return docs.select(*keep, docs["text"].alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs["text"].alias("text")).mapInArrow(textscan.released(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
