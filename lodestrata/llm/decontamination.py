@@ -136,27 +136,24 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams) ->
     return found
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """The ``keep`` columns, n_words, n_hit and items (sorted item ids) of each row.
-
-    Null texts have no words.  Items without words have no windows; an item
-    whose id is null marks words but is not listed.  An item id that several
-    rows share is listed once.  Documents pass through one map for each block
-    of the benchmark, all in one stage.
-    """
+def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], p: DecontaminationParams) -> DataFrame:
+    """The kept columns as k0, k1, ..., then n_words, n_hit and items: names that no input column clashes with."""
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    state = docs.select(*keep, F.col("text").alias("_text"), F.lit(None).cast("binary").alias("_hits"), F.array().cast("array<long>").alias("_items"))
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = [docs[c].alias(n) for c, n in zip(keep, names, strict=True)]
+    state = docs.select(*kept, docs["text"].alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<long>").alias("items"))
+    at = len(keep)
     for index in _blocks(docs, benchmark, p):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
             own = sent.value
             for batch in batches:
-                for part in textscan.slices(batch, "_text"):
-                    words = textscan.scan(part.column(len(keep)), textscan.ALNUM)
-                    hits, items = part.column(len(keep) + 1).to_pylist(), part.column(len(keep) + 2).to_pylist()
+                for part in textscan.slices(batch, "text"):
+                    words = textscan.scan(part.column(at), textscan.ALNUM)
+                    hits, items = part.column(at + 1).to_pylist(), part.column(at + 2).to_pylist()
                     start, window = own.find(words)
                     first = words.bounds()
                     change = np.zeros(len(words.hashes) + 1, dtype=np.int64)
@@ -171,27 +168,38 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], p
                     for row, w in zip(words.rows[start].tolist(), window.tolist(), strict=True):
                         items[row] = sorted({*items[row], *own.owners[w]})
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns[: len(keep) + 1], pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))],
-                        names=[*keep, "_text", "_hits", "_items"],
+                        [*part.columns[: at + 1], pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))],
+                        names=[*names, "text", "hits", "items"],
                     )
 
         state = state.mapInArrow(textscan.released(run), state.schema)
 
     def finish(batches):
         for batch in batches:
-            for part in textscan.slices(batch, "_text"):
-                words = textscan.scan(part.column(len(keep)), textscan.ALNUM)
-                hits, items = part.column(len(keep) + 1).to_pylist(), part.column(len(keep) + 2)
+            for part in textscan.slices(batch, "text"):
+                words = textscan.scan(part.column(at), textscan.ALNUM)
+                hits, items = part.column(at + 1).to_pylist(), part.column(at + 2)
                 n_hit = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array(np.diff(words.bounds())), pa.array(n_hit, pa.int64()), items],
-                    names=[*keep, "n_words", "n_hit", "items"],
+                    [*part.columns[:at], pa.array(np.diff(words.bounds())), pa.array(n_hit, pa.int64()), items],
+                    names=[*names, "n_words", "n_hit", "items"],
                 )
 
-    schema = textscan.schema_with(docs, keep, "n_words long, n_hit long, items array<long>")
+    schema = textscan.schema_with(state, names, "n_words long, n_hit long, items array<long>")
     return state.mapInArrow(textscan.released(finish), schema)
 
 
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
+    """The ``keep`` columns, n_words, n_hit and items (sorted item ids) of each row.
+
+    Null texts have no words.  Items without words have no windows; an item
+    whose id is null marks words but is not listed.  An item id that several
+    rows share is listed once.  Documents pass through one map for each block
+    of the benchmark, all in one stage.
+    """
+    return _marked(docs, benchmark, keep, p).toDF(*keep, "n_words", "n_hit", "items")
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs``."""
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -208,7 +216,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, p: Decontaminati
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs; columns are unchanged."""
     columns = list(docs.columns)
-    return mark_contamination(docs, benchmark, columns, p).where("n_hit = 0").select(*columns)
+    clean = _marked(docs, benchmark, columns, p).where("n_hit = 0")
+    return clean.select(*[f"k{i}" for i in range(len(columns))]).toDF(*columns)
 
 
 def digest_of(item_ids: list[int]) -> str:

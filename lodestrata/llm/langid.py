@@ -168,29 +168,43 @@ def fit_filters(labelled: DataFrame, p: LanguageParams = LanguageParams()) -> La
     return LanguageFilters(languages, per_language, p, fallback=common)
 
 
-def predict_language(docs: DataFrame, filters: LanguageFilters, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, lang_pred and score of each row.
-
-    Texts without a letter (and nulls) are ``und`` with score 0; texts none of
-    whose n-grams is known get the most frequent language with score 0.
-    """
+def _predicted(docs: DataFrame, filters: LanguageFilters, keep: list[str]) -> DataFrame:
+    """The kept columns as k0, k1, ..., then lang_pred and score: names that no input column clashes with."""
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    place = keep.index("text") if "text" in keep else len(keep)
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = [docs[c].alias(n) for c, n in zip(keep, names, strict=True)]
+    text = names[keep.index("text")] if "text" in keep else "text"
+    rows = docs.select(*kept, *([] if "text" in keep else [docs["text"].alias("text")]))
     sent = spark.sparkContext.broadcast(filters)  # bounded by 1 / min_rate n-grams of each language
 
     def run(batches):
         own = sent.value
         for batch in batches:
-            for part in textscan.slices(batch, "text"):
-                names, score = own.predict(part.column(place))
+            for part in textscan.slices(batch, text):
+                found, score = own.predict(part.column(part.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"]
+                    [*part.columns[: len(names)], pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"]
                 )
 
-    schema = textscan.schema_with(docs, keep, "lang_pred string, score double")
-    return docs.select(*keep, *([] if place < len(keep) else ["text"])).mapInArrow(textscan.released(run), schema)
+    return rows.mapInArrow(textscan.released(run), textscan.schema_with(rows, names, "lang_pred string, score double"))
+
+
+def predict_language(docs: DataFrame, filters: LanguageFilters, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns, lang_pred and score of each row.
+
+    Texts without a letter (and nulls) are ``und`` with score 0; texts none of
+    whose n-grams is known get the most frequent language with score 0.
+    """
+    return _predicted(docs, filters, keep).toDF(*keep, "lang_pred", "score")
+
+
+def keep_recognised(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
+    """``docs`` without rows of no recognised language; lang becomes the predicted one, other columns are unchanged."""
+    columns = list(docs.columns)
+    found = _predicted(docs, filters, columns).where("lang_pred <> 'und' AND score > 0")
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"k{i}") for i, c in enumerate(columns)]).toDF(*columns)
 
 
 def identify_languages(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:
