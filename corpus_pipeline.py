@@ -7,11 +7,10 @@ as Parquet and read again as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrata.llm.bpe import BpeParams, encode_documents
 from lodestrata.llm.decontamination import drop_contaminated
-from lodestrata.llm.langid import fit_filters, predict_language
+from lodestrata.llm.langid import fit_filters, keep_recognised
 from lodestrata.llm.minhash import drop_near_duplicates
 from lodestrata.llm.pii import redact_documents
 from lodestrata.llm.queries import tokenizer_path
@@ -20,9 +19,7 @@ from lodestrata.runtime import materialize, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no recognised language; the others get the predicted one as ``lang``."""
-    columns = list(docs.columns)
-    found = predict_language(docs, fit_filters(docs), columns).where("lang_pred <> 'und' AND score > 0")
-    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+    return keep_recognised(docs, fit_filters(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
