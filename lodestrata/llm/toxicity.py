@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textscan
-from lodestrata.runtime import ship, small_batches
+from lodestrata.runtime import materialize, ship, small_batches
 
 
 @dataclass(frozen=True)
@@ -25,8 +25,7 @@ class ToxicityParams:
     """``max_per_class``: bound on the labelled rows of each class that are fitted.
 
     ``max_bytes``: bound on their bytes of text together; fewer rows are drawn
-    where texts are long.  Rows are drawn by a hash, whole texts always, and
-    fitted in one task.
+    where texts are long.  Whole texts are fitted, in one task.
     """
 
     orders: tuple[int, ...] = (3, 4, 5)
@@ -312,29 +311,39 @@ def _train(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> ToxicityM
     return ToxicityModel(table, params[2][1] - params[2][0], p)
 
 
-def fit_from(labelled: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit on a bounded sample of ``labelled`` (text, toxic); null labels are left out.
+def fit_from(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """Fit on a bounded sample of the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks.
 
-    Rows are drawn per class by a hash of the text, as many as both bounds allow.
+    Ids are drawn per class by a hash, at most as many as the bound; just their
+    texts leave the scan, and a share of them if their bytes exceed theirs.
+    Null labels are left out.
     """
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    sizes = {r["toxic"]: (r["n"], r["b"]) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null")
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if not sizes:
         return fit([], np.empty(0), p)
+    drawn = None
+    for label in sorted(sizes):
+        part = marked.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("_id", F.lit(p.seed)), "_id").limit(p.max_per_class * (2 - label))
+        drawn = part if drawn is None else drawn.unionByName(part)
+    drawn = materialize(drawn, "toxic-sample")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = named.join(F.broadcast(drawn), named["doc_id"] == drawn["_id"])  # at most three times max_per_class ids
+    rows = rows.select("text", "toxic").dropDuplicates()
+    held = {r["toxic"]: r["b"] for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     chance = F.lit(0.0)
-    for label, (n, size) in sizes.items():
-        share = min(1.0, p.max_per_class * (2 if label == 0 else 1) / n, p.max_bytes / len(sizes) / max(size or 1, 1))
-        chance = F.when(F.col("toxic") == label, F.lit(share)).otherwise(chance)
+    for label, size in held.items():
+        chance = F.when(F.col("toxic") == label, F.lit(min(1.0, p.max_bytes / len(held) / max(size or 1, 1)))).otherwise(chance)
     drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1 << 30)) < chance * (1 << 30))
-    prior = sizes.get(1, (0, 0))[0] / sum(n for n, _ in sizes.values())
+    prior = sizes.get(1, 0) / sum(sizes.values())
 
     def run(batches):
         known = sorted((int(toxic), text) for batch in batches for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         model = fit([t for _, t in known], np.array([y for y, _ in known]), p, prior)
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], names=["model", "bias"])
 
-    ship(labelled.sparkSession)
-    small_batches(labelled.sparkSession)
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     # The sample is bounded, so one executor fits it; the driver gets one number per bucket.
     found = drawn.repartition(1).mapInArrow(textscan.released(run), "model binary, bias double").collect()
     if not found:
@@ -373,9 +382,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
     is null has no label; labels repeated for an id each count.  Without labels
     of both classes all scores are those of the class that is there (0 if none).
     """
-    known = labels.select(F.col("doc_id").alias("_id"), "toxic").where(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1)
+    known = labels.select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     named = docs.select("doc_id", "text")
-    train = named.join(known, named["doc_id"] == known["_id"]).select("text", "toxic")
-    model = fit_from(train, p)
+    model = fit_from(named, known, p)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
     return score_texts(named, model, ["doc_id"]).select("doc_id", held, "score", "predicted")
