@@ -238,3 +238,139 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids."""
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def louvain_round(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
+    """(id, community): local moves by modularity gain over (src, dst, weight), in synchronous rounds.
+
+    Nodes of even and odd hash move in turn, so that two neighbours do not swap
+    communities for ever; a move needs a gain, and ties go to the least community.
+    """
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
+    both = materialize(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain")
+    degree = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "louvain")
+    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
+    state = materialize(nodes.select("id", F.col("id").alias("community")), "louvain")
+    for turn in range(rounds):
+        known = state.join(degree, "id", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
+        total = known.groupBy("community").agg(F.sum("k").alias("tot"))
+        near = both.join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
+        own = known.select("id", "k", F.col("community").alias("now"))
+        options = near.join(own, "id").join(total, "community")
+        held = F.when(F.col("community") == F.col("now"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
+        options = options.withColumn("gain", F.col("w") - F.col("k") * held / m2)
+        stay = options.where("community = now").select("id", F.col("gain").alias("stay"))
+        best = options.where("community <> now").groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "community")).alias("b"))
+        moves = best.join(stay, "id", "left").where(-F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
+        moves = moves.where(F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2).select("id", F.col("b.community").alias("new"))
+        moved = materialize(moves, "louvain")
+        if moved.isEmpty() and turn % 2:
+            break
+        state = materialize(state.join(moved, "id", "left").select("id", F.coalesce("new", "community").alias("community")), "louvain")
+    return state
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(id, score): shortest-path dependencies of the given sources, levels forward and back for all sources at once."""
+    step = edges.select("src", "dst")
+    level = materialize(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")), "between")
+    levels = [level]
+    seen = level.select("s", "id")
+    for _ in range(max_depth):
+        reached = level.join(step, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+        level = materialize(reached.join(seen, ["s", "id"], "left_anti"), "between")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("s", "id"))
+    delta: DataFrame | None = None
+    out: DataFrame | None = None
+    for upper, lower in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        below = lower if delta is None else lower.join(delta, ["s", "id"], "left")
+        below = below.select("s", F.col("id").alias("dst"), F.col("sigma").alias("sw"), (F.coalesce("d", F.lit(0.0)) if delta is not None else F.lit(0.0)).alias("dw"))
+        share = upper.join(step, F.col("id") == F.col("src")).join(below, ["s", "dst"])
+        delta = share.groupBy("s", "id").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("d"))
+        delta = materialize(delta, "between")
+        part = delta.where("s <> id")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return sources.select("id", F.lit(0.0).alias("score")).where("false")
+    return out.groupBy("id").agg(F.sum("d").alias("score"))
+
+
+def bridges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst): edges whose removal parts a component.
+
+    An edge that lies in a triangle or a longer cycle is none; candidates are
+    the edges of degree-one peeling and those outside 2-edge-connected cores,
+    found by removing leaves until none is left, then checking each edge of
+    the core by a search that avoids it.
+    """
+    e = materialize(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "bridge")
+    core, leaves = e, None
+    while True:
+        both = core.select(F.col("src").alias("id")).unionAll(core.select("dst"))
+        single = both.groupBy("id").count().where("count = 1").select("id")
+        cut = core.join(single.select(F.col("id").alias("src")), "src", "left_semi").unionByName(core.join(single.select(F.col("id").alias("dst")), "dst", "left_semi")).distinct()
+        cut = materialize(cut, "bridge")
+        if cut.isEmpty():
+            break
+        leaves = cut if leaves is None else leaves.unionByName(cut)
+        core = materialize(core.join(cut, ["src", "dst"], "left_anti"), "bridge")
+    # In the core: a spanning forest by breadth-first levels; a tree edge is a bridge if no other edge spans it.
+    found = _core_bridges(core)
+    return found if leaves is None else leaves.unionByName(found)
+
+
+def _core_bridges(core: DataFrame) -> DataFrame:
+    """Bridges of a graph without leaves by random labels: an edge is one if the sum over the cycles through it is zero.
+
+    Every non-tree edge draws a 64-bit label; a tree edge carries the xor of the
+    labels of the non-tree edges that span it, which is the xor of its subtree's
+    nodes.  It is zero just for bridges (but for a chance of 2^-64 each).
+    """
+    both = materialize(undirected(core), "bridge")
+    ids = both.select(F.col("src").alias("id")).distinct()
+    roots = components(core, ids)
+    level = materialize(roots.where("id = component").select("id", F.lit(0).alias("depth"), F.lit(None).cast(ids.schema["id"].dataType).alias("parent")), "bridge")
+    tree = level
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        reached = level.join(both, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        level = materialize(reached.join(tree.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "bridge")
+        tree = tree.unionByName(level)
+    tree = materialize(tree, "bridge")
+    pairs = tree.where("parent is not null").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
+    extra = core.join(pairs, ["src", "dst"], "left_anti").withColumn("x", F.xxhash64("src", "dst", F.lit(7)))
+    own = extra.select(F.col("src").alias("id"), "x").unionByName(extra.select(F.col("dst").alias("id"), "x")).groupBy("id").agg(F.bit_xor("x").alias("x"))
+    sums = materialize(tree.join(own, "id", "left").select("id", "depth", "parent", F.coalesce("x", F.lit(0).cast("long")).alias("x")), "bridge")
+    for d in range(depth - 1, 0, -1):
+        up = sums.where(F.col("depth") == d).groupBy(F.col("parent").alias("id")).agg(F.bit_xor("x").alias("u"))
+        sums = materialize(sums.join(up, "id", "left").select("id", "depth", "parent", F.col("x").bitwiseXOR(F.coalesce("u", F.lit(0).cast("long"))).alias("x")), "bridge")
+    return sums.where("parent is not null and x = 0").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
+
+
+def cfl_reachability(edges: DataFrame, unary: list[tuple[str, str]], binary: list[tuple[str, str, str]], max_rounds: int = 200) -> DataFrame:
+    """(src, dst, label): labelled edges closed under productions label -> label and label -> label label."""
+    facts = materialize(edges.select("src", "dst", "label").distinct(), "cfl")
+    fresh = facts
+    for _ in range(max_rounds):
+        made = []
+        for head, body in unary:
+            made.append(fresh.where(F.col("label") == body).select("src", "dst", F.lit(head).alias("label")))
+        for head, left, right in binary:
+            for a, b in ((fresh, facts), (facts, fresh)):
+                x = a.where(F.col("label") == left).select("src", F.col("dst").alias("m"))
+                y = b.where(F.col("label") == right).select(F.col("src").alias("m"), "dst")
+                made.append(x.join(y, "m").select("src", "dst", F.lit(head).alias("label")))
+        if not made:
+            break
+        new = made[0]
+        for part in made[1:]:
+            new = new.unionByName(part)
+        fresh = materialize(new.distinct().join(facts, ["src", "dst", "label"], "left_anti"), "cfl")
+        if fresh.isEmpty():
+            break
+        facts = materialize(facts.unionByName(fresh), "cfl")
+    return facts

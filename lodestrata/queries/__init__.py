@@ -1,9 +1,9 @@
 """Registry of the engine's own queries."""
 
-from lodestrata.queries import graphs, relational, retrieval, streams
+from lodestrata.queries import graphs, relational, retrieval, streams, writes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (relational, graphs, retrieval, streams):
+for _module in (relational, graphs, retrieval, streams, writes):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
