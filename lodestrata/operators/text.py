@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import materialize
+
 #: Words that the BM25 tokenizer drops.
 STOP_WORDS = (
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with you your i".split()
@@ -30,20 +32,34 @@ def bm25_tokens(column: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def _is(term: str):
     return lambda word: word == term
 
 
+def token_count(column: Column) -> Column:
+    """How many BM25 tokens a text has, in one pass of a pattern that passes over stop words."""
+    stop = "|".join(STOP_WORDS)
+    return F.regexp_count(F.lower(F.coalesce(column, F.lit(""))), F.lit(f"(?<!{_WORD})(?!(?:{stop})(?!{_WORD})){_WORD}+"))
+
+
+def term_count(column: Column, term: str) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(column, F.lit(""))), F.lit(f"(?<!{_WORD})\\Q{term}\\E(?!{_WORD})"))
+
+
 def bm25(docs: DataFrame, query: str, id_column: str = "id", text_column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a query word, by Okapi BM25 over the whole corpus.
 
-    Only the query's words leave the scan: term counts are taken per document
-    without a shuffle, and the corpus statistics are one aggregate.
+    Texts are read once: their lengths and the query's term counts are written
+    as a narrow table, from which come both the corpus statistics (one row)
+    and the scores, without a shuffle.
     """
-    terms = [w for w in dict.fromkeys(re.findall(r"[^\W_]+(?:_+[^\W_]+)*|\w+", query.lower())) if w not in STOP_WORDS]
-    tokens = docs.select(F.col(id_column).alias("id"), bm25_tokens(F.col(text_column)).alias("w"))
-    counts = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    per_doc = tokens.select("id", F.size("w").alias("dl"), *counts)
+    terms = [w for w in dict.fromkeys(re.findall(r"\w+", query.lower())) if w not in STOP_WORDS]
+    text = F.col(text_column)
+    counts = [term_count(text, t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    per_doc = materialize(docs.select(F.col(id_column).alias("id"), token_count(text).alias("dl"), *counts), "bm25")
     stats = per_doc.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
     )
