@@ -86,9 +86,9 @@ def chain(spark, sf_dir):
     return graph.chain(edges, starts, [("PLACED_BY", "in"), ("CONTAINS", "out")])
 
 
-@R.query("cypher_filter_order", "SELECT c_name AS name, CAST(c_acctbal AS VARCHAR) AS bal FROM customer WHERE false")
+@R.query("cypher_filter_order", "SELECT c_name AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY 1 DESC LIMIT 5 OFFSET 2")
 def cypher_filter(spark, sf_dir):
-    return engine(spark, sf_dir).cypher("MATCH (c:Customer {segment: 'NOPE'}) RETURN c.name AS name, c.balance AS bal ORDER BY name LIMIT 5")
+    return engine(spark, sf_dir).cypher("MATCH (c:Customer {segment: 'BUILDING'}) RETURN c.name AS name, c.segment AS segment ORDER BY c.name DESC SKIP 2 LIMIT 5")
 
 
 @R.query("cypher_edge_aggregate", "SELECT n_name AS nation, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
