@@ -80,10 +80,11 @@ f AS (
     '[\x09-\x0D\x20]+', ' ', 'g')) AS form FROM s),
 w AS (SELECT *, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END AS n FROM f),
 span AS (
-  SELECT a.doc_id, a.k, a.form || chr(10) || b.form AS joint
-  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.n + b.n >= 12),
+  SELECT a.doc_id, a.k, 2 AS size, a.form || chr(10) || b.form AS joint
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.n + b.n >= 12
+  UNION ALL SELECT doc_id, k, 1, form FROM w WHERE n >= 25),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY joint ORDER BY doc_id, k) AS nth FROM span),
-gone AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS k FROM ranked WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS k FROM ranked WHERE nth > 1),
 marked AS (
   SELECT w.doc_id, w.k, w.raw, len(w.raw) AS size, gone.k IS NOT NULL AS out,
     sum(len(w.raw)) OVER (PARTITION BY w.doc_id ORDER BY w.k) - len(w.raw) AS a

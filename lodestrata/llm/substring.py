@@ -1,6 +1,6 @@
 """Substring deduplication by sliding spans of sentences.
 
-Every run of ``run`` consecutive sentences is hashed.  Runs that occur more
+Every run of ``run`` consecutive sentences, and every very long sentence, is hashed.  Runs that occur more
 than once anywhere are joined globally; their first occurrence (by doc_id,
 then place) stays, and sentences that any other occurrence covers are removed.
 """
@@ -24,10 +24,14 @@ SENTENCE = re.compile(r"[\x09-\x0D\x20]*(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """``run``: sentences of a span; ``min_words``: spans of fewer words together are left alone."""
+    """``run``: sentences of a span; ``min_words``: spans of fewer words together are left alone.
+
+    ``long_words``: a sentence of this many words is a span by itself.
+    """
 
     run: int = 2
     min_words: int = 12
+    long_words: int = 25
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -53,26 +57,30 @@ class SentenceIndex:
         self.edges = np.searchsorted(self.rows, np.arange(words.n_rows + 1))
 
     def spans(self, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, sentence numbers, hashes, second hashes) of the spans that are long enough."""
-        n = len(self.first) - p.run + 1
-        if n <= 0:
-            none = np.empty(0, np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint64)
-        a, b = self.first[:n], self.last[p.run - 1 :]
-        long = (self.rows[:n] == self.rows[p.run - 1 :]) & (b - a >= p.min_words)
-        up, down = textscan._power_tables(len(self.words.hashes) + 1)
-        total = np.zeros(len(self.words.hashes) + 1, dtype=np.uint64)
-        np.cumsum(self.words.hashes * up[: len(self.words.hashes)], out=total[1:])
-        other = np.zeros(len(self.words.hashes) + 1, dtype=np.uint64)
-        np.cumsum(textscan.mix(self.words.hashes + np.uint64(0x51ED270B)) * up[: len(self.words.hashes)], out=other[1:])
-        at = np.flatnonzero(long)
-        a, b = a[at], b[at]
-        shape = np.zeros(len(at), dtype=np.uint64)  # where the sentences of the span end
-        for k in range(p.run):
-            shape = textscan.mix(shape + (self.last[at + k] - a).astype(np.uint64))
-        one = textscan.mix((total[b] - total[a]) * down[a] + shape)
-        two = textscan.mix((other[b] - other[a]) * down[a] ^ shape)
-        return self.rows[at], at - self.edges[self.rows[at]], one, two
+        """(rows, places, hashes, second hashes) of the spans that are long enough.
+
+        A place is the first sentence's number times 256, plus the number of sentences.
+        """
+        hashes = self.words.hashes
+        up, down = textscan._power_tables(len(hashes) + 1)
+        total, other = np.zeros(len(hashes) + 1, dtype=np.uint64), np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+        np.cumsum(textscan.mix(hashes + np.uint64(0x51ED270B)) * up[: len(hashes)], out=other[1:])
+        found = []
+        for run, least in ((1, p.long_words), (p.run, p.min_words)):
+            n = max(0, len(self.first) - run + 1)
+            a, b = self.first[:n], self.last[run - 1 :][:n]
+            at = np.flatnonzero((self.rows[:n] == self.rows[run - 1 :][:n]) & (b - a >= least))
+            a, b = a[at], b[at]
+            shape = np.full(len(at), run, dtype=np.uint64)  # where the sentences of the span end
+            for k in range(run):
+                shape = textscan.mix(shape + (self.last[at + k] - a).astype(np.uint64))
+            one = textscan.mix((total[b] - total[a]) * down[a] + shape)
+            two = textscan.mix((other[b] - other[a]) * down[a] ^ shape)
+            found.append((self.rows[at], (at - self.edges[self.rows[at]]) * 256 + run, one, two))
+            if p.run == 1:
+                break
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
 def _spans(docs: DataFrame, p: SubstringParams) -> DataFrame:
@@ -89,18 +97,18 @@ def _spans(docs: DataFrame, p: SubstringParams) -> DataFrame:
                         pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         part.column(0).take(at),
                         part.column(1).take(at),
-                        pa.array(places.astype(np.int32)),
+                        pa.array(places),
                     ],
                     names=["span", "check", "doc_id", "print", "place"],
                 )
 
-    return docs.select("doc_id", "print", "text").mapInArrow(textscan.released(run), "span long, check int, doc_id long, print long, place int")
+    return docs.select("doc_id", "print", "text").mapInArrow(textscan.released(run), "span long, check int, doc_id long, print long, place long")
 
 
-def _cut(text: str, places: list[int], run: int) -> tuple[str, int, list[tuple[int, int]]]:
+def _cut(text: str, places: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
     """(text without the covered sentences, how many they are, their places)."""
     found = sentences(text)
-    gone = {k for at in places for k in range(at, min(at + run, len(found)))}
+    gone = {k for place in places for k in range(place >> 8, min((place >> 8) + (place & 255), len(found)))}
     kept = "".join(text[a:b] for k, (a, b) in enumerate(found) if k not in gone)
     merged: list[tuple[int, int]] = []
     for k in sorted(gone):
@@ -144,7 +152,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
                     if total[row] == 0 and texts[row]:
                         total[row] = 1  # white space alone
                     if at:
-                        texts[row], gone[row], where = _cut(texts[row], at, p.run)
+                        texts[row], gone[row], where = _cut(texts[row], at)
                         removed[row] = ",".join(f"{a}:{b}" for a, b in where)
                 yield pa.RecordBatch.from_arrays(
                     [
