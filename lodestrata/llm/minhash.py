@@ -520,8 +520,12 @@ def drop_near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicate
     with the same text count once.
     """
     decisions = materialize(near_duplicates(docs, p), "nd-decisions")
-    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id"))
-    repeats = not kept.groupBy("_kept_id").count().where("count > 1").isEmpty()
-    same: Column = docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"])
-    left = docs.join(kept.distinct(), same, "left_semi")
+    kept = decisions.where("kept").select(F.col("doc_id").alias("_id"))
+    repeats = not kept.groupBy("_id").count().where("count > 1").isEmpty()
+    # The ids to drop are far fewer than those to keep; within the bound the texts then need no shuffle.
+    other = decisions.where("not kept").select(F.col("doc_id").alias("_id")).distinct().alias("d")
+    ids = kept.distinct().alias("k")
+    gone = materialize(other.join(ids, F.col("d._id").eqNullSafe(F.col("k._id")), "left_anti").select(F.col("d._id").alias("_id")), "nd-dropped")
+    same: Column = docs["doc_id"].cast("long").eqNullSafe(gone["_id"])
+    left = docs.join(_small(gone, p.broadcast_rows), same, "left_anti")
     return left.dropDuplicates(["doc_id", "text"]) if repeats else left
