@@ -213,7 +213,7 @@ def compile_tokenizer(content: bytes) -> TokenAutomaton:
     return TokenAutomaton(vocab, [(raw(a), raw(b)) for a, b in merges], special)
 
 
-_COMPILED: dict[bytes, TokenAutomaton] = {}
+_COMPILED: dict[bytes, TokenAutomaton] = textscan.CACHES.setdefault("bpe", {})
 
 
 def compiled(content: bytes) -> TokenAutomaton:
@@ -260,7 +260,7 @@ def encode_documents(docs: DataFrame, p: BpeParams, keep: list[str]) -> DataFram
                 )
 
     schema = textscan.schema_with(docs, keep, "n_tokens long, token_ids array<int>")
-    return docs.select(*keep, docs["text"].alias("text")).mapInArrow(textscan.released(run), schema)
+    return docs.select(*keep, docs["text"].alias("text")).mapInArrow(textscan.released(run, "bpe"), schema)
 
 
 def decode_documents(tokens: DataFrame, p: BpeParams, keep: list[str], column: str = "token_ids") -> DataFrame:
@@ -278,7 +278,7 @@ def decode_documents(tokens: DataFrame, p: BpeParams, keep: list[str], column: s
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = textscan.schema_with(tokens, keep, "text string")
-    return tokens.select(*keep, tokens[column].alias(column)).mapInArrow(textscan.released(run), schema)
+    return tokens.select(*keep, tokens[column].alias(column)).mapInArrow(textscan.released(run, "bpe"), schema)
 
 
 def token_digests(docs: DataFrame, p: BpeParams) -> DataFrame:
@@ -309,4 +309,4 @@ def token_digests(docs: DataFrame, p: BpeParams) -> DataFrame:
                 )
 
     schema = textscan.schema_with(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return docs.select("doc_id", "text").mapInArrow(textscan.released(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(textscan.released(run, "bpe"), schema)

@@ -145,10 +145,13 @@ def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], p: Decontami
     kept = [docs[c].alias(n) for c, n in zip(keep, names, strict=True)]
     state = docs.select(*kept, docs["text"].alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<long>").alias("items"))
     at = len(keep)
-    for index in _blocks(docs, benchmark, p):
+    blocks = _blocks(docs, benchmark, p)
+    final = textscan.schema_with(state, names, "n_words long, n_hit long, items array<long>")
+    for number, index in enumerate(blocks):
         sent = spark.sparkContext.broadcast(index)
+        last = number == len(blocks) - 1
 
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, last=last):
             own = sent.value
             for batch in batches:
                 for part in textscan.slices(batch, "text"):
@@ -167,26 +170,17 @@ def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], p: Decontami
                         hits[row] = np.packbits(bits).tobytes()
                     for row, w in zip(words.rows[start].tolist(), window.tolist(), strict=True):
                         items[row] = sorted({*items[row], *own.owners[w]})
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[: at + 1], pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))],
-                        names=[*names, "text", "hits", "items"],
-                    )
-
-        state = state.mapInArrow(textscan.released(run), state.schema)
-
-    def finish(batches):
-        for batch in batches:
-            for part in textscan.slices(batch, "text"):
-                words = textscan.scan(part.column(at), textscan.ALNUM)
-                hits, items = part.column(at + 1).to_pylist(), part.column(at + 2)
-                n_hit = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:at], pa.array(np.diff(words.bounds())), pa.array(n_hit, pa.int64()), items],
-                    names=[*names, "n_words", "n_hit", "items"],
-                )
-
-    schema = textscan.schema_with(state, names, "n_words long, n_hit long, items array<long>")
-    return state.mapInArrow(textscan.released(finish), schema)
+                    found = pa.array(items, pa.list_(pa.int64()))
+                    if last:  # the marks of all blocks are there
+                        n_hit = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits]
+                        columns = [*part.columns[:at], pa.array(np.diff(first)), pa.array(n_hit, pa.int64()), found]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_hit", "items"])
+                    else:
+                        columns = [*part.columns[: at + 1], pa.array(hits, pa.binary()), found]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "hits", "items"])
+
+        state = state.mapInArrow(textscan.released(run), final if last else state.schema)
+    return state
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], p: DecontaminationParams = DecontaminationParams()) -> DataFrame:

@@ -9,6 +9,7 @@ belongs to a word.
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -166,19 +167,33 @@ def schema_with(df: DataFrame, keep: list[str], added: str) -> StructType:
     return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
 
 
-def released(run):
-    """``run`` for mapInArrow, giving memory that a task has freed back to the system when the task ends.
+#: Per-process caches by name; a task of another operator drops them.
+CACHES: dict[str, dict] = {}
 
-    Workers stay alive between tasks, so what they hold idle would count
-    against the executor.
+
+def released(run, cache: str = ""):
+    """``run`` for mapInArrow, mindful of what idle workers hold.
+
+    Workers stay alive between tasks, so what they keep counts against the
+    executor: caches of other operators are dropped when a task begins, and
+    freed memory goes back to the system at both ends.
     """
 
-    def whole(batches):
-        yield from run(batches)
+    def trim() -> None:
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except OSError:  # another C library
             pass
 
+    def whole(batches):
+        others = [held for name, held in CACHES.items() if name != cache and held]
+        for held in others:
+            held.clear()
+        if others:
+            gc.collect()
+            trim()
+        yield from run(batches)
+        trim()
+
     return whole
