@@ -1,7 +1,7 @@
 """Substring deduplication by sliding spans of sentences.
 
-Every run of ``run`` consecutive sentences, and every very long sentence, is hashed.  Runs that occur more
-than once anywhere are joined globally; their first occurrence (by doc_id,
+From each sentence, forwards and backwards, the run of consecutive sentences grows until it has enough words;
+these runs, and every very long sentence, are hashed.  Runs that occur more than once anywhere are joined globally; their first occurrence (by doc_id,
 then place) stays, and sentences that any other occurrence covers are removed.
 """
 
@@ -24,7 +24,7 @@ SENTENCE = re.compile(r"[\x09-\x0D\x20]*(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """``run``: sentences of a span; ``min_words``: spans of fewer words together are left alone.
+    """``run``: least sentences of a span; ``min_words``: a span grows by sentences until it has so many words.
 
     ``long_words``: a sentence of this many words is a span by itself.
     """
@@ -33,6 +33,10 @@ class SubstringParams:
     min_words: int = 12
     long_words: int = 25
 
+    def __post_init__(self) -> None:
+        if not (1 <= self.run <= 255 and 1 <= self.min_words <= 255):
+            raise ValueError("run and min_words must be from 1 to 255, as a place holds a span's sentences in 8 bits")
+
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Places of the non-empty sentences of a text, which together are the text."""
@@ -66,20 +70,26 @@ class SentenceIndex:
         total, other = np.zeros(len(hashes) + 1, dtype=np.uint64), np.zeros(len(hashes) + 1, dtype=np.uint64)
         np.cumsum(hashes * up[: len(hashes)], out=total[1:])
         np.cumsum(textscan.mix(hashes + np.uint64(0x51ED270B)) * up[: len(hashes)], out=other[1:])
+        at, long = np.arange(len(self.first)), np.flatnonzero(self.last - self.first >= p.long_words)
+        # Grown forwards from each sentence and backwards from each, so that every repeated stretch of min_words is covered to both ends.
+        end = np.maximum(np.searchsorted(self.last, self.first + p.min_words), at + p.run - 1)
+        start = np.minimum(np.searchsorted(self.first, self.last - p.min_words, side="right") - 1, at - p.run + 1)
+        ahead, back = np.flatnonzero(end < len(at)), np.flatnonzero(start >= 0)
+        ahead, back = ahead[self.rows[end[ahead]] == self.rows[ahead]], back[self.rows[start[back]] == self.rows[back]]
+        grown = [long * 256 + 1, ahead * 256 + end[ahead] - ahead + 1, start[back] * 256 + back - start[back] + 1]
+        spans = np.unique(np.concatenate(grown))
         found = []
-        for run, least in ((1, p.long_words), (p.run, p.min_words)):
-            n = max(0, len(self.first) - run + 1)
-            a, b = self.first[:n], self.last[run - 1 :][:n]
-            at = np.flatnonzero((self.rows[:n] == self.rows[run - 1 :][:n]) & (b - a >= least))
-            a, b = a[at], b[at]
+        for run in np.unique(spans & 255):
+            at = spans[(spans & 255) == run] >> 8
+            a, b = self.first[at], self.last[at + run - 1]
             shape = np.full(len(at), run, dtype=np.uint64)  # where the sentences of the span end
             for k in range(run):
                 shape = textscan.mix(shape + (self.last[at + k] - a).astype(np.uint64))
             one = textscan.mix((total[b] - total[a]) * down[a] + shape)
             two = textscan.mix((other[b] - other[a]) * down[a] ^ shape)
             found.append((self.rows[at], (at - self.edges[self.rows[at]]) * 256 + run, one, two))
-            if p.run == 1:
-                break
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
         return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 

@@ -179,6 +179,40 @@ def test_repeated_passages(spark):
     assert got[4]["text"] == "" and got[4]["n_removed"] == 6
 
 
+def test_repeated_short_sentences(spark):
+    """A 60-word passage of sentences of one to five words, no two neighbours of which have twelve words."""
+    passage, n, sizes = "", 0, [1, 5, 2, 4, 3]
+    while n < 60:
+        size = sizes[n // 3 % 5]
+        passage, n = passage + " ".join(f"word{n + i}" for i in range(size)) + ". ", n + size
+    rows = [(1, "Something before it. " + passage + "After it."), (2, "Quite another start. " + passage + "Other end."), (3, "yes. no. " * 5)]
+    got = {r["doc_id"]: r for r in substring.remove_repeats(documents(spark, rows)).collect()}
+    assert got[1]["text"] == rows[0][1]
+    assert got[2]["text"] == "Quite another start. Other end."
+    assert got[3]["n_removed"] == 0  # ten words
+
+
+def test_every_repeated_stretch_is_covered():
+    """Against brute force: the sentences of all repeated stretches of two or more sentences and twelve or more words."""
+    rng = random.Random(6)
+    for _ in range(30):
+        pool = [" ".join(rng.choice("abc") for _ in range(size)) + ". " for size in (1, 2, 3, 4, 5, 9)]
+        texts = ["".join(rng.choices(pool, k=25)) for _ in range(3)]
+        rows, places, one, two = substring.SentenceIndex(pa.array(texts)).spans(substring.SubstringParams())
+        parts = [[t[a:b].strip() for a, b in substring.sentences(t)] for t in texts]
+        seen, covered = {}, set()
+        for r, ss in enumerate(parts):
+            for k in range(len(ss)):
+                for m in range(k + 2, len(ss) + 1):
+                    if sum(len(s.split()) for s in ss[k:m]) >= 12 and seen.setdefault(tuple(ss[k:m]), (r, k)) != (r, k):
+                        covered |= {(r, i) for i in range(k, m)}
+        first, got = {}, set()
+        for r, place, h in sorted(zip(rows.tolist(), places.tolist(), zip(one.tolist(), two.tolist()))):
+            if first.setdefault(h, (r, place)) != (r, place):
+                got |= {(r, i) for i in range(place >> 8, (place >> 8) + (place & 255))}
+        assert got == covered and got
+
+
 def test_sentences_rebuild_the_text():
     rng = random.Random(1)
     for _ in range(2000):
