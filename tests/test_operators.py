@@ -151,6 +151,22 @@ def test_vectors(spark):
     assert vector.storage_bytes(32, 128) == {"f32": 16384, "f16": 8192, "binary": 512}
 
 
+def test_accelerated_knn_against_brute_force(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(400, 16))
+    v[5] = v[4]
+    p = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vector array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    found = {}
+    for r in vector.accelerated_knn_join(p.where("id % 20 = 0"), p, 5, 16).orderBy("query_id", "distance", "id").collect():
+        found.setdefault(r["query_id"], []).append(r["id"])
+    truth = {q: sorted(range(400), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5] for q in range(0, 400, 20)}
+    assert sum(len(set(found[q]) & set(truth[q])) for q in truth) / 100 >= 0.9
+    assert found == truth
+    assert [r["id"] for r in vector.accelerated_knn(p, [float(x) for x in v[20]], 5).collect()] == truth[20]
+
+
 def test_csv_and_jsonl_readers(spark, tmp_path):
     (tmp_path / "n.csv").write_text("id,label,name\n1,City,Flint\n2,City\n")
     nodes, errors = ingest.read_csv_nodes(spark, str(tmp_path / "n.csv"))
