@@ -167,6 +167,17 @@ def test_accelerated_knn_against_brute_force(spark):
     assert [r["id"] for r in vector.accelerated_knn(p, [float(x) for x in v[20]], 5).collect()] == truth[20]
 
 
+def test_recall_is_measured(spark, monkeypatch):
+    """A search that finds three of five is reported as 0.6."""
+    from lodestrata.queries import QUERIES
+    from tests.conftest import SF
+
+    assert QUERIES["rel_recall_vs_exact"](spark, SF).first()["recall"] == 1.0
+    whole = vector.accelerated_knn_join
+    monkeypatch.setattr(vector, "accelerated_knn_join", lambda queries, points, k, dims: whole(queries, points, 3, dims))
+    assert QUERIES["rel_recall_vs_exact"](spark, SF).first()["recall"] == pytest.approx(0.6)
+
+
 def test_csv_and_jsonl_readers(spark, tmp_path):
     (tmp_path / "n.csv").write_text("id,label,name\n1,City,Flint\n2,City\n")
     nodes, errors = ingest.read_csv_nodes(spark, str(tmp_path / "n.csv"))
