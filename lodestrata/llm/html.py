@@ -73,16 +73,20 @@ class Block:
         return bool(self.text)
 
 
+#: The end of a tag, or the quote that opens an attribute's value.
+_TAG_STEP = re.compile(r">|=\s*([\"'])")
+
+
 def _tag_end(page: str, at: int) -> int:
-    """The place of the > that ends a tag, beyond quoted ones; -1 if there is none."""
-    end = first = page.find(">", at)
-    for _ in range(40):
-        if end < 0:
-            return first
-        inside = page[at:end]
-        if inside.count('"') % 2 == 0 and (inside.count("'") % 2 == 0 or '"' in inside):
-            return end
-        end = page.find(">", end + 1)
+    """The place of the > that ends a tag, beyond quoted values; -1 if there is none."""
+    first = page.find(">", at)
+    while first >= 0 and (step := _TAG_STEP.search(page, at)):
+        if not step[1]:
+            return step.start()
+        close = page.find(step[1], step.end())
+        if close < 0:
+            break
+        at = close + 1
     return first
 
 

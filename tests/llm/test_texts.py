@@ -244,6 +244,13 @@ def test_main_text():
     assert html.main_text("<article><p>x<p>1 &lt; 2<br>y</article>") == "x 1 < 2 y"
 
 
+def test_markup_in_attributes():
+    words = "This is the text of the page and it goes on for a while so that it is long enough to be kept as the main text of it. " * 3
+    markup = "<b>leak</b> " * 50
+    assert [b.text for b in html.blocks(f"<div data-x='{markup}'><p>{words}</p></div>")] == [words.strip()]
+    assert [b.text for b in html.blocks(f'<div data-x = "{markup}"><p title="a"b">{words}</p></div>')] == [words.strip()]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (1, "u", ""), (None, "u", "<article>a b</article>"), (2, "u", "<" * 3000), (3, "u", "<div>" * 5000 + "x")]
     out = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
