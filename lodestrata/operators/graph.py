@@ -53,7 +53,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> Dat
     return bfs(edges, seeds, max_rounds).select("id")
 
 
-def shortest_path_costs(edges: DataFrame, seed: object, max_rounds: int = 64) -> DataFrame:
+def shortest_path_costs(edges: DataFrame, seed: object, max_rounds: int = 10_000) -> DataFrame:
     """(id, cost): least sums of edge weights (not negative) from a node, by relaxing improved nodes only."""
     spark = edges.sparkSession
     best = materialize(spark.range(1).select(F.lit(seed).cast(edges.schema["src"].dataType).alias("id"), F.lit(0.0).alias("cost")), "sssp")
@@ -66,7 +66,7 @@ def shortest_path_costs(edges: DataFrame, seed: object, max_rounds: int = 64) ->
         if moved.isEmpty():
             return best
         best = materialize(best.unionByName(moved).groupBy("id").agg(F.min("cost").alias("cost")), "sssp")
-    return best
+    raise RuntimeError(f"path costs not done after {max_rounds} rounds")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, damping: float = 0.85, tolerance: float = 0.0) -> DataFrame:
@@ -165,7 +165,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.array_sort(F.array("u", "p", "q")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
-def k_truss(edges: DataFrame, k: int, max_rounds: int = 50) -> DataFrame:
+def k_truss(edges: DataFrame, k: int, max_rounds: int = 10_000) -> DataFrame:
     """(x, y): edges that stay when every edge must lie in k - 2 triangles."""
     live = materialize(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "truss")
     for _ in range(max_rounds):
@@ -176,7 +176,7 @@ def k_truss(edges: DataFrame, k: int, max_rounds: int = 50) -> DataFrame:
         if new.count() == live.count():
             return new
         live = new
-    return live
+    raise RuntimeError(f"truss not done after {max_rounds} rounds")
 
 
 def walk_counts(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
@@ -201,18 +201,31 @@ def structural_knn(edges: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def strongly_connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strongly_connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, scc): least id of each strongly connected component.
 
-    Colours (least reachable-from ids) spread forward; each colour's root then
-    collects backward the nodes of its colour that reach it.
+    Nodes without an edge in or out are components by themselves and are trimmed
+    first.  Colours (least reachable-from ids) spread forward; each colour's root
+    then collects backward the nodes of its colour that reach it.
     """
     left = materialize(nodes.select("id"), "scc")
     live = materialize(edges.select("src", "dst").distinct(), "scc")
     done: DataFrame | None = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
+        while True:
+            kept = left.join(live.where("src <> dst").select(F.col("src").alias("id")), "id", "left_semi").join(live.where("src <> dst").select(F.col("dst").alias("id")), "id", "left_semi")
+            kept = materialize(kept, "scc")
+            alone = materialize(left.join(kept, "id", "left_anti"), "scc")
+            if alone.isEmpty():
+                break
+            part = alone.select("id", F.col("id").alias("scc"))
+            done = part if done is None else done.unionByName(part)
+            left, ends = kept, kept.select("id")
+            live = materialize(live.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), "dst").select("src", "dst"), "scc")
         if left.isEmpty():
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"strong components not done after {max_rounds} rounds")
         colour = materialize(left.select("id", F.col("id").alias("colour")), "scc")
         while True:
             better = live.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
@@ -270,7 +283,7 @@ def louvain_round(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFr
     return state
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(id, score): shortest-path dependencies of the given sources, levels forward and back for all sources at once."""
     step = edges.select("src", "dst")
     level = materialize(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")), "between")
@@ -283,6 +296,8 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> Da
             break
         levels.append(level)
         seen = seen.unionByName(level.select("s", "id"))
+    else:
+        raise RuntimeError(f"betweenness not done after {max_depth} levels")
     delta: DataFrame | None = None
     out: DataFrame | None = None
     for upper, lower in zip(levels[-2::-1], levels[:0:-1], strict=True):
@@ -351,7 +366,7 @@ def _core_bridges(core: DataFrame) -> DataFrame:
     return sums.where("parent is not null and x = 0").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
 
 
-def cfl_reachability(edges: DataFrame, unary: list[tuple[str, str]], binary: list[tuple[str, str, str]], max_rounds: int = 200) -> DataFrame:
+def cfl_reachability(edges: DataFrame, unary: list[tuple[str, str]], binary: list[tuple[str, str, str]], max_rounds: int = 10_000) -> DataFrame:
     """(src, dst, label): labelled edges closed under productions label -> label and label -> label label."""
     facts = materialize(edges.select("src", "dst", "label").distinct(), "cfl")
     fresh = facts
@@ -373,4 +388,6 @@ def cfl_reachability(edges: DataFrame, unary: list[tuple[str, str]], binary: lis
         if fresh.isEmpty():
             break
         facts = materialize(facts.unionByName(fresh), "cfl")
+    else:
+        raise RuntimeError(f"reachability not done after {max_rounds} rounds")
     return facts

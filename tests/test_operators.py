@@ -60,6 +60,24 @@ def test_strong_components(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_loops_end_whole_or_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 8)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
+    assert {r["id"]: r["scc"] for r in graph.strongly_connected(chain, nodes, 3).collect()} == {i: i for i in range(1, 9)}
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.strongly_connected(pairs, nodes.where("id <= 4"), 1)
+    with pytest.raises(RuntimeError):
+        graph.shortest_path_costs(chain.withColumn("weight", F.lit(1.0)), 1, 3)
+    with pytest.raises(RuntimeError):
+        graph.betweenness(chain, nodes.where("id = 1"), 3)
+    with pytest.raises(RuntimeError):
+        graph.cfl_reachability(chain.withColumn("label", F.lit("e")), [], [("e", "e", "e")], 1)
+    ladder = spark.createDataFrame([(i, i + d) for i in range(6) for d in (1, 2)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.k_truss(ladder, 4, 1)
+
+
 def test_k_truss_and_triangles(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (4, 5)], "src long, dst long")
     assert graph.triangles(edges).count() == 4
