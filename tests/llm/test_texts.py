@@ -269,6 +269,16 @@ def test_languages_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
 
 
+def test_other_languages_are_dropped(spark):
+    from lodestrata.runtime import table
+
+    docs = table(spark, SF, "documents")
+    filters = langid.fit_filters(docs)
+    assert langid.keep_recognised(docs, filters).count() == docs.count()
+    others = ["Wszystkie zwierzęta są równe, ale niektóre są równiejsze od innych.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "xqzv wkjpl qqrtz mnbvc zzxkj plokw qazws edcrf tgbyh"]
+    assert langid.keep_recognised(documents(spark, list(enumerate(others))), filters).count() == 0
+
+
 def test_more_than_64_languages():
     grams = [np.unique(np.random.default_rng(k).integers(0, 2**63, 50, dtype=np.uint64)) for k in range(70)]
     filters = langid.LanguageFilters([f"l{k:02d}" for k in range(70)], grams, langid.LanguageParams())
