@@ -1,15 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  Pass one decides each block by
-its length, link density and stop-word density, and by the elements around it;
-short blocks that show too little stay undecided.  Pass two gives them the
-label of their nearest decided neighbours.
+its length, link density and stop-word density.  Tags, roles and class names
+are votes: they take an element's blocks away only while the densities leave
+the page's prose outside of it, so a hint on an element that holds the page
+itself is outvoted.  Blocks that show too little stay undecided; pass two
+gives them the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,40 +33,79 @@ STOP_WORDS = frozenset(
 )
 #: Elements that never hold main text, with all that is in them.
 _SKIPPED = frozenset("script style noscript template svg math iframe object select option textarea button canvas audio video head title".split())
-#: Elements around page furniture.
-_FURNITURE = frozenset("nav footer aside form menu dialog".split())
+#: Elements around page furniture; a form may also be the page's own wrapper.
+_FURNITURE = frozenset("nav footer aside menu dialog".split())
 _BLOCKS = frozenset(
     """address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
-_TRACKED = _BLOCKS - frozenset("br hr p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot html body legend summary".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|respond|disqus|consent|cookies?|copyright|footer|"
-    r"gdpr|legal|menu|modal|nav|navbar|navigation|newsletter|notice|notification|alert|pagination|pager|popup|promo\w*|recommended|related|"
-    r"share|sharing|sidebar|side|signup|login|search|skip|social|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|widget\w*|masthead|site-header|page-header)"
-    r"(?:$|[\s_-])",
-    re.I,
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TRACKED = _BLOCKS - _HEADINGS - frozenset("br hr p li dt dd td th tr tbody thead tfoot html body legend summary".split())
+#: Parts of class names and ids of page furniture; those of the second list also count as beginnings.
+_HINTS = frozenset(
+    """ad ads adsense banner breadcrumb breadcrumbs copyright footer gdpr legal menu modal nav navbar navigation newsletter notice notification
+    alert pagination pager popup recommended related share sharing sidebar side signup login search skip social subscribe subscription tags
+    teaser toolbar topbar masthead header consent cookie cookies""".split()
 )
+_HINT_STARTS = ("advert", "promo", "sponsor", "widget")
+#: Parts of the names of reader comments.
+_COMMENTS = frozenset("comment comments commentlist respond disqus replies discussion".split())
+#: Parts of names that stand for content, and parts that say of a hint that it is not there or elsewhere.
+_CONTENT = frozenset("article content main post entry story body text page layout wrapper container results".split())
+_DENIED = frozenset("no not non without with has is hide".split())
+#: Words of calls to action and of labels around an article, in four languages.
+_LABELS = frozenset(
+    """advertisement advertisements advertising sponsored subscribe newsletter share tweet follow login signup register comments reply related
+    anzeige werbung abonnieren teilen anmelden kommentare publicité annonce abonnez partager connexion commentaires publicidad anuncio suscríbete
+    suscribirse compartir comentarios""".split()
+)
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORD = re.compile(r"\w+")
 
 
+_SENTENCE_END = re.compile(r"[.!?…](?=\s|$)|[。！？।؟۔։]")
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_FOREIGN = re.compile(r"[^\W\d_\u0000-\u024f]")
+
+#: How much a tag or a name speaks against an element: it may be a wrapper, it is page furniture, it is not shown.
+WEAK, STRONG, HIDDEN = 1, 2, 3
+
+
 @dataclass(frozen=True)
 class HtmlParams:
-    """Lengths in characters; densities are shares of characters (links) and of words (stop words)."""
+    """Lengths in characters (those of wide scripts count three times); densities are shares of characters (links) and of words (stop words).
+
+    ``sentence``: a text with a sentence end to so many characters is prose in any language.
+    """
 
     short: int = 70
     long: int = 200
+    sentence: int = 300
     max_links: float = 0.35
     low_stop: float = 0.12
     high_stop: float = 0.25
 
 
+@dataclass(eq=False)
+class Element:
+    """An open element that blocks lie in; ``group`` is its outermost article."""
+
+    parent: Element | None
+    name: str
+    vote: int
+    group: Element | None = None
+    prose: int = 0
+    off: bool = False
+    vetoed: bool = False
+
+
 @dataclass
 class Block:
-    furniture: bool
-    article: bool
+    where: Element | None
+    vote: int = 0
+    heading: bool = False
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -90,33 +132,49 @@ def _tag_end(page: str, at: int) -> int:
     return first
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _FURNITURE or (name == "header" and not in_article):
-        return True
+def _name_vote(names: str) -> int:
+    """How much the class names or the id of an element speak against it."""
+    vote, content = 0, False
+    for name in names.split():
+        parts = [part.lower() for part in _NAME_PARTS.findall(name)]
+        own = [part in _HINTS or part in _COMMENTS or part.startswith(_HINT_STARTS) for part in parts]
+        inner = any(part in _CONTENT for part in parts)
+        if not any(own):
+            content = content or inner
+        elif not any(part in _DENIED for part in parts):
+            sure = own[-1] and (not inner or parts[-1] in _COMMENTS)
+            vote = max(vote, STRONG if sure else WEAK)
+    return WEAK if vote and content else vote
+
+
+def _vote(name: str, attributes: str, in_article: bool) -> int:
+    """How much tag, role, style and names of an element speak against it."""
+    vote = STRONG if name in _FURNITURE or (name == "header" and not in_article) else WEAK if name == "form" else 0
     if not attributes or name in ("body", "html", "main"):
-        return False
+        return vote
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    return any(_HINT.search(found.get(key, "")) for key in ("class", "id"))
+    if "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return HIDDEN
+    if found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _ROLES:
+        vote = STRONG
+    return max(vote, *(_name_vote(found.get(key, "")) for key in ("class", "id")))
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's non-empty blocks in order."""
+def parse(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's non-empty blocks and its elements, both in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tracked elements: name, in furniture, in article
-    furniture = article = False
+    elements: list[Element] = []
+    here: Element | None = None
+    opened: Counter[str] = Counter()
     unclosed: set[str] = set()
     links = 0
-    block = Block(False, False)
+    block = Block(None)
 
-    def cut() -> None:
+    def cut(vote: int = 0, heading: bool = False) -> None:
         nonlocal block
         if block.close():
             out.append(block)
-        block = Block(furniture, article)
+        block = Block(here, vote, heading)
 
     def text(raw: str) -> None:
         if raw:
@@ -166,55 +224,123 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in _BLOCKS:
             continue
+        attributes = inner[len(name) :]
         if closing:
-            if name in _TRACKED and any(n == name for n, _, _ in stack):
-                while stack:
-                    top, furniture, article = stack.pop()
-                    if top == name:
+            if opened[name]:
+                while here is not None:
+                    top, here = here, here.parent
+                    opened[top.name] -= 1
+                    if top.name == name:
                         break
                 links = 0
+            cut()
         elif name in _TRACKED and not inner.endswith("/"):
-            stack.append((name, furniture, article))
-            own = _is_furniture(name, inner[len(name) :], article)
-            furniture = furniture or own
-            article = article or (name in ("article", "main") and not own)
-        cut()
+            vote = _vote(name, attributes, here is not None and here.group is not None)
+            here = Element(here, name, vote, here.group if here else None)
+            if here.group is None and name in ("article", "main") and vote < STRONG:
+                here.group = here
+            opened[name] += 1
+            elements.append(here)
+            cut()
+        else:
+            cut(_vote(name, attributes, True) if attributes.strip() else 0, name in _HEADINGS)
     cut()
-    return out
+    return out, elements
 
 
-def classify(found: list[Block], p: HtmlParams = HtmlParams()) -> list[bool]:
-    """Which blocks are main text."""
-    labels: list[bool | None] = []
-    for b in found:
-        words = [w.lower() for w in _WORD.findall(b.text)]
-        links = b.linked / max(1, sum(map(len, b.text.split())))
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.furniture or links > p.max_links:
-            labels.append(False)
-        elif b.article:
-            labels.append(True if len(b.text) >= p.short or stop >= p.low_stop or not links else None)
-        elif len(b.text) < p.short:
-            labels.append(False if links > 0 else None)
-        elif stop >= p.high_stop or (stop >= p.low_stop and len(b.text) >= p.long):
-            labels.append(True)
-        elif stop < p.low_stop:
-            labels.append(False)
-        else:
-            labels.append(None)
-    out = [bool(label) for label in labels]
-    decided = [i for i, label in enumerate(labels) if label is not None]
-    behind = -1
-    for i, label in enumerate(labels):
-        if label is not None:
-            behind += 1
-            continue
-        near = [(i - decided[behind], labels[decided[behind]])] if behind >= 0 else []
-        if behind + 1 < len(decided):
-            near.append((decided[behind + 1] - i, labels[decided[behind + 1]]))
-        # The nearest decided block decides; between two as near, one of main text is enough.
-        least = min((d for d, _ in near), default=0)
-        out[i] = any(bool(kept) for d, kept in near if d == least)
+def blocks(page: str) -> list[Block]:
+    """The page's non-empty blocks in order."""
+    return parse(page)[0]
+
+
+def density(b: Block, p: HtmlParams = HtmlParams()) -> bool | None:
+    """What length, links and stop words say of a block: main text, no main text, or too little."""
+    words = [w.lower() for w in _WORD.findall(b.text)]
+    size = len(b.text) + 2 * len(_WIDE.findall(b.text))
+    links = b.linked / max(1, sum(map(len, b.text.split())))
+    article = b.where is not None and b.where.group is not None
+    if links > p.max_links:
+        return False
+    if size < p.short:
+        labels = sum(w in _LABELS for w in words)
+        return False if 2 * labels >= max(1, len(words)) or (links > 0 and not article) else None
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stop >= p.high_stop or (stop >= p.low_stop and size >= p.long):
+        return True
+    ends = len(_SENTENCE_END.findall(b.text))
+    foreign = 2 * len(_FOREIGN.findall(b.text)) > sum(map(len, words))
+    if ends and (foreign or (size >= p.long and ends * p.sentence >= size)):
+        return True
+    return None if article or stop >= p.low_stop else False
+
+
+def _set_vetoes(found: list[Block], labels: list[bool | None], elements: list[Element]) -> None:
+    """Decide which votes stand.
+
+    Furniture goes while any prose lies outside of it, or where it holds less
+    than half of all; what may be a wrapper goes where it holds no more than
+    half of the prose that furniture leaves.
+    """
+
+    counted = [
+        label or (label is None and b.where is not None and b.where.group is not None) for b, label in zip(found, labels, strict=True)
+    ]  # an article's undecided blocks count as its prose
+
+    def weigh(skip) -> int:
+        """Prose of every element and of the page, but for that in skipped elements."""
+        total = 0
+        for e in elements:
+            e.prose, e.off = 0, skip(e) or (e.parent is not None and e.parent.off)
+        for b, full in zip(found, counted, strict=True):
+            if full and b.vote < STRONG and not (b.where and b.where.off):
+                total += len(b.text)
+                if b.where:
+                    b.where.prose += len(b.text)
+        for e in reversed(elements):
+            if e.parent:
+                e.parent.prose += e.prose
+        return total
+
+    free = weigh(lambda e: e.vote >= STRONG)
+    total = weigh(lambda e: e.vote == HIDDEN)
+    for e in elements:
+        e.vetoed = e.vote == HIDDEN or (e.vote == STRONG and (free > 0 or 2 * e.prose < total))
+    total = weigh(lambda e: e.vetoed)
+    for e in elements:
+        e.vetoed = e.vetoed or (e.vote == WEAK and 2 * e.prose <= total > 0)
+    weigh(lambda e: e.vetoed)
+    for at, b in enumerate(found):
+        if b.vote >= STRONG or (b.where and b.where.off):
+            labels[at] = False
+
+
+def classify(found: list[Block], elements: list[Element], p: HtmlParams = HtmlParams()) -> list[bool]:
+    """Which blocks are main text.
+
+    Undecided blocks look at decided ones of the same article (or outside of
+    all): a heading at the next one, others at the nearest; of two as near, one
+    of main text is enough.  Without any, they are main text.
+    """
+    labels = [density(b, p) for b in found]
+    _set_vetoes(found, labels, elements)
+    group = [id(b.where.group) if b.where is not None and b.where.group is not None else 0 for b in found]
+    behind, ahead = [-1] * len(found), [-1] * len(found)
+    for places, order in ((behind, range(len(found))), (ahead, range(len(found) - 1, -1, -1))):
+        last: dict[int, int] = {}
+        for at in order:
+            places[at] = last.get(group[at], -1)
+            if labels[at] is not None:
+                last[group[at]] = at
+    out = []
+    for at, label in enumerate(labels):
+        if label is None:
+            before, after = behind[at], ahead[at]
+            if found[at].heading and after >= 0:
+                before = -1
+            near = [(abs(at - k), labels[k]) for k in (before, after) if k >= 0]
+            least = min((d for d, _ in near), default=0)
+            label = any(bool(kept) for d, kept in near if d == least) if near else True
+        out.append(bool(label))
     return out
 
 
@@ -222,12 +348,17 @@ def main_text(page: str | None, p: HtmlParams = HtmlParams()) -> str:
     """The main text of a page: its blocks in order, joined by one space."""
     if not page:
         return ""
-    found = blocks(page)
-    return " ".join(b.text for b, keep in zip(found, classify(found, p), strict=True) if keep)
+    found, elements = parse(page)
+    return " ".join(b.text for b, keep in zip(found, classify(found, elements, p), strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
-    """page_id, url, text, n_chars of each row of ``pages``; a null or empty page has an empty text."""
+    """page_id, url, text, n_chars of each row of ``pages``.
+
+    A null or empty page, or one without main text, has an empty text.  Long
+    pages are read whole, in time linear in their length.  Repeated rows give
+    repeated rows; other columns are ignored whatever their names.
+    """
     spark = pages.sparkSession
     ship(spark)
     small_batches(spark)
