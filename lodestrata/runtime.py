@@ -80,15 +80,21 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIR: str | None = None
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage in a way that survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _SCRATCH.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
