@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from lodestrata.llm.pii import find_personal_data
 from lodestrata.llm.sharding import ShardParams, ShardStore
 from lodestrata.llm.substring import remove_repeats
 from lodestrata.llm.toxicity import toxicity
-from lodestrata.runtime import shared_dir, table
+from lodestrata.runtime import scratch_path, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,21 +31,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     Returns per row its doc_id, bytes and digest, and whether its shard keeps to the target size.
     """
     docs = table(spark, sf_dir, "documents")
-    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", ShardParams(target=32 << 20, arrival=4 << 20))
+    store = ShardStore(spark, scratch_path(spark, "shards"), ShardParams(target=32 << 20, arrival=4 << 20))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     for arrival in range(4):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == arrival), size // 8)
     for everything in (False, True):
         store.compact(everything)
-        store.vacuum()
-    sized = [s["path"].rsplit("/data/", 1)[1] for s in store.manifest()[1]["shards"] if s["bytes"] <= store.params.target * 1.25]
-    names = spark.createDataFrame([(n,) for n in sized], "f string")
-    rows = store.read().withColumn("f", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1))
-    return rows.join(F.broadcast(names.withColumn("ok", F.lit(True))), "f", "left").select(
+        store.vacuum(older_than=0)  # this store has no other writer
+    rows = store.read()
+    if not store.manifest()[1]["shards"]:
+        held = F.lit(True)
+    else:
+        held = rows.metadataColumn("_metadata")["file_size"] <= int(store.params.target * 1.25)
+    return rows.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
-        F.coalesce("ok", F.lit(False)).alias("within_target"),
+        held.alias("within_target"),
     )
 
 
