@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, decontamination, html, langid, pii, queries, substring, textscan, toxicity
 from tests.compare import duck_rows, spark_rows
@@ -47,8 +48,9 @@ def brute_contamination(text, items, n=10):
     return len(words), len(hits), len(named), hashlib.sha256(",".join(sorted(map(str, named))).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_bytes", [16_000_000, 60])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize("params", [{}, {"broadcast_rows": 0}, {"filter_bits": 12, "broadcast_rows": 1}])
+def test_contamination(spark, params):
+    """Also with nothing broadcast, and with filters so small that they pass nearly everything."""
     rng = random.Random(5)
     word = lambda: rng.choice(["a", "b", "The", "x1", "été"])
     items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 10, 14])))) for k in range(9)] + [(50, None), (51, ""), (52, "...")]
@@ -57,7 +59,7 @@ def test_contamination(spark, block_bytes):
         body = " ".join(word() for _ in range(rng.randint(0, 60)))
         rows.append((i, body + (" - " + items[i % 9][1].upper().replace("É", "é") if i % 3 == 0 else "")))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    p = decontamination.DecontaminationParams(block_bytes=block_bytes)
+    p = decontamination.DecontaminationParams(**params)
     got = {r["doc_id"]: tuple(r)[1:5] for r in decontamination.contamination_report(documents(spark, rows), benchmark, p).collect()}
     assert got == {i: brute_contamination(t, items) for i, t in rows}
 
@@ -73,6 +75,36 @@ def test_contamination_odd_rows(spark):
     assert kept.count() == 12 and kept.columns == odd_documents(spark).columns
 
 
+def test_contamination_names_of_any_type(spark):
+    benchmark = spark.createDataFrame([("item-b", "one two three"), ("item-a", "one two three"), ("item-a", "four")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "zero ONE, two three four"), ("y", "one two")], "doc_id string, text string").withColumn("r", F.lit(1)).withColumn("found", F.lit(2))
+    got = {r["doc_id"]: tuple(r)[1:5] for r in decontamination.contamination_report(docs, benchmark).collect()}
+    assert got["x"] == (5, 4, 2, hashlib.sha256(b"item-a,item-b").hexdigest()) and got["y"][1] == 0
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, benchmark).collect()] == ["y"]
+
+
+def test_skewed_joins_are_whole(spark):
+    from lodestrata.llm.joins import skew_join
+
+    left = spark.range(6000).select((F.when(F.col("id") < 5000, 7).otherwise(F.col("id") % 50)).alias("k"), "id")
+    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = skew_join(left, right, "k", ["id"], broadcast_rows=0, parts=10)
+    assert got.count() == 6000 and got.where("v <> 2 * k").count() == 0
+    assert "_salt" not in got.columns
+
+
+def test_filters_hold_what_they_were_given(spark):
+    from lodestrata.llm.joins import HashFilter
+
+    known = textscan.mix(np.arange(3000, dtype=np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in known.view(np.int64)], "h long")
+    for bits in (12, 26):
+        found = HashFilter.of(df, "h", bits)
+        assert found.has(known).all() and len(found.table) * 64 <= 1 << bits
+    assert found.has(textscan.mix(np.arange(10**6, 10**6 + 3000, dtype=np.uint64))).mean() < 0.05
+    assert not HashFilter.of(df.limit(0), "h").has(known).any()
+
+
 # op4
 
 
