@@ -143,6 +143,87 @@ def test_added_spans_and_redaction(spark):
     assert pii.redact("abcdef", [("card", 1, 3), ("ip", 2, 5)]) == "a<CARD>f"
 
 
+def brute_candidates(text):
+    """Plain searches of each added kind, every place against every base span."""
+    words = r"(?:[A-Za-z0-9-]+)"
+    found = [("secret", m.span()) for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9_]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    found += [("account", m.span()) for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text) if 12 <= len(re.sub("[ -]", "", m[0])) <= 19]
+    found += [("local_phone", m.span()) for m in re.finditer(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", text)]
+    found += [("masked_email", m.span()) for m in re.finditer(rf"[A-Za-z0-9._%+-]+ ?[\[(](?:at|AT)[\])] ?{words}(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.){words})+", text)]
+    found += [("national_id", m.span()) for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text)]
+    base = brute_spans(text)
+    return {(k, a, b) for k, (a, b) in found if not any(x < b and a < y for _, x, y in base)}
+
+
+def test_candidates_against_plain_searches():
+    rng = random.Random(12)
+    parts = ["a1b2c3d4e5f6a7b8c9d0e1", "4111 1111 1111 1111", "4111 1111 1111 1112", "555-123-4567", "(212) 555-9999", "ab.c [at] d-e [dot] org", "x(at)y.com", "123-45-6789", "a@b.co", "1.2.3.4", "+1 212 555 1234", "word", "_", "-", ".", "secret:", "token = "]
+    seen = set()
+    for _ in range(3000):
+        text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        got = {(c.kind, c.start, c.end) for c in pii.candidates(text, pii.base_spans(text)) if c.kind in ("secret", "account", "local_phone", "masked_email", "national_id")}
+        assert got == brute_candidates(text), text
+        seen |= {k for k, *_ in got}
+    assert len(seen) == 5
+
+
+def test_all_labelers_vote_on_all_kinds():
+    texts = {
+        "iban": ["IBAN: DE89 3704 0044 0532 0130 00 here", "order ZZ89 3704 0044 0532 0130 01 here"],
+        "national_id": ["SSN: 536-22-1234 now", "tracking 000-12-0000 now", "as in 123-45-6789 now"],
+        "birth_date": ["born 12.03.1980 in", "birth: 45.13.2090 at"],
+        "person": ["signed: Maria Lopez now", "by Dr. Smith now"],
+        "address": ["lives at 12 Oak Street now", "see Lindenweg 5 now", "address: 4 Elm St now"],
+        "masked_email": ["mail: a.b [at] c [dot] org now", "revision a[at]b.zzz now"],
+        "local_phone": ["phone: 212-555-9999 now", "invoice 011-155-0199 now", "tel (212) 667-9999"],
+        "secret": ['token = "sk_' + "a1" * 90 + '" now', "commit abcdefghijklmnopqrstuvwx1 now", "x" + "0123456789abcdef" * 2],
+        "account": ["card: 378282246310005 now", "order 4012888888881881222 now", "isbn 0999999999999 now"],
+    }
+    for kind, examples in texts.items():
+        found = [c for t in examples for c in pii.candidates(t, []) if c.kind == kind]
+        assert len(found) >= len(examples), kind
+        votes = np.array([c.votes for c in found])
+        assert votes.any(axis=0)[:3].all(), (kind, votes)  # shape, gazetteer and cue
+
+
+def test_reliabilities_are_learned_whatever_the_size():
+    """A rare class, and labelers whose rates are not those assumed: the posterior follows the votes."""
+    rng = np.random.default_rng(3)
+    for n in (20_000, 400_000):
+        truth = rng.random(n) < 0.02
+        yes = [[0.01, 0.09, 0.90], [0.02, 0.18, 0.80], [0.05, 0.15, 0.80], [0.01, 0.29, 0.70], [0.02, 0.03, 0.95]]
+        no = [[0.90, 0.07, 0.03], [0.55, 0.40, 0.05], [0.30, 0.68, 0.02], [0.30, 0.69, 0.01], [0.50, 0.02, 0.48]]
+        votes = np.stack([np.where(truth, rng.choice(3, n, p=y), rng.choice(3, n, p=x)) - 1 for y, x in zip(yes, no)], axis=1)
+        patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+        belief = pii.estimate(patterns, counts.astype(float))[inverse.ravel()]
+        exact = np.full(n, np.log(0.02 / 0.98))
+        for k in range(5):
+            exact += np.log(np.array(yes[k])[votes[:, k] + 1] / np.array(no[k])[votes[:, k] + 1])
+        assert ((belief > 0.5) == (exact > 0)).mean() > 0.998
+        assert abs(belief.mean() - 0.02) < 0.004
+
+
+def test_added_kinds_end_to_end(spark):
+    rows = [(k, f"text {k} born {k % 28 + 1:02d}.03.19{k % 60 + 20} and mail: a{k} [at] b [dot] org, lives at {k + 1} Oak Street, IBAN: DE89 3704 0044 0532 0130 00.") for k in range(80)]
+    rows += [(k, f"order {k} of 12.03.2017 was sent, number 49{k:04d}5511229{k % 7}, page 3, and that is all") for k in range(80, 200)]
+    rows.append((200, 'key = "' + "a1B2" * 60 + '"'))
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    for kind in ("birth_date", "masked_email", "address", "iban"):
+        assert all(kind + ":" in got[k] for k in range(80)), kind
+    assert all(got[k] == "" for k in range(80, 200))
+    assert got[200] == "secret:7:247"
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    model = pii.train([])
+    for unit in ("a.b@c.de 1234 ", "_a", "Anna Maria ", "1 ", "a [at] ", "4111111111111111 "):
+        start = time.time()
+        pii.all_spans(unit * (2_000_000 // len(unit)), model)
+        assert time.time() - start < 20, unit
+
+
 def test_personal_data_odd_rows(spark):
     assert pii.find_personal_data(odd_documents(spark)).count() == 12
     assert pii.find_personal_data(empty_documents(spark)).count() == 0
