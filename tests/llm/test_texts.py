@@ -269,6 +269,27 @@ def test_long_words(tokenizer):
         assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_are_cut_as_the_library_cuts_them(tokenizer):
+    """Every code point between letters, digits, blanks and itself, the pieces of long texts, and what is refused."""
+    import json
+
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    own, library = tokenizer
+    splitter = ByteLevel(add_prefix_space=False, use_regex=True)
+    for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]:
+        text = f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}! x"
+        assert own.split(text) == [text[a:b] for _, (a, b) in splitter.pre_tokenize_str(text)], hex(c)
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "12", " ", "  ", "\n", "\x85", "'s", "é", "€", "\x1c", ". "]) for _ in range(400))
+        assert own._plain(text, piece=7) == own._plain(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    content = json.loads(open(queries.tokenizer_path(), "rb").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": content["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.compile_tokenizer(json.dumps(content | change).encode())
+
+
 def test_round_trip(spark):
     p = bpe.BpeParams(queries.tokenizer_path())
     docs = odd_documents(spark)
