@@ -100,13 +100,48 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         first = last
 
 
-def scan(column: pa.Array, words: WordClass) -> Words:
-    """Find and hash all words of a string column."""
+def scan(column: pa.Array, words: WordClass, chunk: int = 1 << 21) -> Words:
+    """Find and hash all words of a string column; beyond ``chunk`` bytes in pieces cut between words, so that less is held at once."""
     buf, offsets = utf8(column)
     n = len(buf)
-    empty = np.empty(0, np.int64)
-    if n == 0:
+    found = []
+    at = 0
+    while at < n:
+        to = _between_words(buf, min(at + chunk, n), words)
+        edges = offsets[np.searchsorted(offsets, at, side="right") : np.searchsorted(offsets, to)] - at
+        starts, ends, hashes = _scan_piece(buf[at:to], edges, words)
+        found.append((starts + at, ends + at, hashes))
+        at = to
+    if not found:
+        empty = np.empty(0, np.int64)
         return Words(buf, offsets, empty, empty, empty, np.empty(0, np.uint64))
+    starts, ends, hashes = found[0] if len(found) == 1 else (np.concatenate(part) for part in zip(*found, strict=True))
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    return Words(buf, offsets, starts, ends, rows, hashes)
+
+
+def pieces(column: pa.Array, words: WordClass, limit: int):
+    """One text as string columns of one row of about ``limit`` bytes, cut between words."""
+    buf, _ = utf8(column)
+    at = 0
+    while at < len(buf) or at == 0:
+        to = _between_words(buf, min(at + limit, len(buf)), words)
+        yield pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, to - at], np.int64)), pa.py_buffer(buf[at:to].tobytes()))
+        if to == len(buf):
+            return
+        at = to
+
+
+def _between_words(buf: np.ndarray, to: int, words: WordClass) -> int:
+    """The first place from ``to`` on that lies in no word."""
+    while 0 < to < len(buf) and words.is_word[buf[to - 1]] and words.is_word[buf[to]]:
+        window = np.flatnonzero(~words.is_word[buf[to : to + (1 << 16)]])
+        to = min(to + (int(window[0]) if len(window) else 1 << 16), len(buf))
+    return to
+
+
+def _scan_piece(buf: np.ndarray, edges: np.ndarray, words: WordClass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(buf)
     inside = words.is_word[buf]
     begin = np.empty(n + 1, dtype=bool)
     begin[0], begin[n] = inside[0], False
@@ -114,7 +149,6 @@ def scan(column: pa.Array, words: WordClass) -> Words:
     end = np.empty(n + 1, dtype=bool)
     end[0], end[n] = False, inside[-1]
     np.less(inside[1:], inside[:-1], out=end[1:n])
-    edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
     begin[edges] = inside[edges]
     end[edges] = inside[edges - 1]
@@ -124,8 +158,7 @@ def scan(column: pa.Array, words: WordClass) -> Words:
     sums[0] = 0
     np.cumsum(words.value[buf] * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return Words(buf, offsets, starts, ends, rows, hashes)
+    return starts, ends, hashes
 
 
 def run_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -94,17 +94,14 @@ class SubwordBags:
                     valid &= self.inside[k : size - n + 1 + k]
                 yield n, valid, ((hashes * np.uint32(2246822519) + np.uint32(n)) * np.uint32(2654435761)) >> shift
 
+    def word_names(self) -> np.ndarray:
+        """A 64-bit hash of the letters of each word, in their order."""
+        up, down = textscan._power_tables(len(self.value) + 1)
+        total = _running(self.value.astype(np.uint64) * up[: len(self.value)])
+        return textscan.mix((total[self.ends] - total[self.starts]) * down[self.starts])
+
     def word_buckets(self) -> np.ndarray:
-        wide = self.value.astype(np.uint64)
-        total = _running((wide * np.uint64(0x9E3779B1)) ^ (wide << np.uint64(17)))
-        # A whole word is named by its ends, its length and the sum of its bytes.
-        name = textscan.mix(
-            total[self.ends]
-            - total[self.starts]
-            + self.value[self.starts].astype(np.uint64) * np.uint64(0x85EBCA77)
-            + (self.ends - self.starts).astype(np.uint64)
-        )
-        return (name >> np.uint64(64 - self.p.bucket_bits)).astype(np.int64)
+        return (self.word_names() >> np.uint64(64 - self.p.bucket_bits)).astype(np.int64)
 
     def word_means(self, table: np.ndarray) -> np.ndarray:
         """Mean of a per-bucket number over each word's bag."""
@@ -119,10 +116,10 @@ class SubwordBags:
             total += sums
         return total / self.counts
 
-    def row_means(self, table: np.ndarray) -> np.ndarray:
+    def row_sums(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of the words' means, numbers of words) by row."""
         words = np.bincount(self.rows, minlength=self.n_rows)
-        sums = np.bincount(self.rows, weights=self.word_means(table), minlength=self.n_rows)
-        return sums / np.maximum(words, 1)
+        return np.bincount(self.rows, weights=self.word_means(table), minlength=self.n_rows), words
 
 
 class ToxicityModel:
@@ -132,7 +129,16 @@ class ToxicityModel:
         self.table, self.bias, self.params = table.astype(np.float32), float(bias), params
 
     def logits(self, column: pa.Array) -> np.ndarray:
-        return SubwordBags(column, self.params).row_means(self.table) + self.bias
+        sums, words = SubwordBags(column, self.params).row_sums(self.table) if len(column) != 1 else self._long(column)
+        return sums / np.maximum(words, 1) + self.bias
+
+    def _long(self, column: pa.Array, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of one text, piece by piece, cut between words."""
+        total, n = np.zeros(1), np.zeros(1, dtype=np.int64)
+        for part in textscan.pieces(column, textscan.ALNUM, piece):
+            sums, words = SubwordBags(part, self.params).row_sums(self.table)
+            total, n = total + sums, n + words
+        return total, n
 
     def score(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(column), -30, 30)))
@@ -151,21 +157,30 @@ def _sum_rows(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct_texts(texts: list[str], run: int = 4, sketches: int = 6) -> np.ndarray:
-    """Numbers of the texts that are no copies or near copies of an earlier one.
+def distinct_texts(texts: list[str], labels: np.ndarray, run: int = 4, bands: int = 12, rows: int = 3, least: float = 0.8) -> np.ndarray:
+    """Numbers of the texts that are no copies or near copies of an earlier one with their label.
 
-    A text counts as one if any of a few minwise values of its word runs has been seen.
+    Near copies share at least ``least`` of their runs of words, counted on the
+    whole sets; minwise values in bands propose the pairs, and texts that only
+    share a passage stay.
     """
-    factors = textscan.mix(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
-    seen: list[set[int]] = [set() for _ in factors]
+    factors = textscan.mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    seen: list[dict[tuple, list[int]]] = [{} for _ in range(bands)]
+    sets: dict[int, np.ndarray] = {}
     kept = []
     for number, text in enumerate(texts):
         _, hashes = textscan.run_hashes(textscan.scan(pa.array([text], pa.large_string()), textscan.ALNUM), run)
-        least = [int((hashes * f).min()) for f in factors] if len(hashes) else []
-        if not any(v in known for v, known in zip(least, seen, strict=False)):
-            kept.append(number)
-        for v, known in zip(least, seen, strict=False):
-            known.add(v)
+        own = np.unique(hashes)
+        sketch = [int((own * f).min()) for f in factors] if len(own) else [0] * len(factors)
+        keys = [(int(labels[number]), *sketch[band * rows : (band + 1) * rows]) for band in range(bands)]
+        near = {other for key, known in zip(keys, seen, strict=True) for other in known.get(key, ())}
+        common = ((other, len(np.intersect1d(own, sets[other], assume_unique=True))) for other in near)
+        if any(n >= least * (len(own) + len(sets[other]) - n) for other, n in common):
+            continue
+        kept.append(number)
+        sets[number] = own
+        for key, known in zip(keys, seen, strict=True):
+            known.setdefault(key, []).append(number)
     return np.array(kept, dtype=np.int64)
 
 
@@ -176,7 +191,7 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams
     drawn by class.
     """
     labels = np.asarray(labels, dtype=np.int64)
-    kept = distinct_texts(texts)
+    kept = distinct_texts(texts, labels)
     texts, labels = [texts[i] for i in kept], labels[kept]
     order = np.random.default_rng(p.seed).permutation(len(labels))
     aside = np.zeros(len(labels), dtype=bool)
@@ -220,8 +235,7 @@ def _train(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> ToxicityM
         if len(bags.starts) == 0:
             base += len(part)
             continue
-        total = _running(bags.value.astype(np.uint64) * textscan._power_tables(len(bags.value))[0][: len(bags.value)])
-        names = textscan.mix((total[bags.ends] - total[bags.starts]) * textscan._power_tables(len(bags.value) + 1)[1][bags.starts])
+        names = bags.word_names()
         unique, first, inverse = np.unique(names, return_index=True, return_inverse=True)
         ids = np.empty(len(unique), np.int64)
         fresh = np.zeros(len(bags.starts), dtype=bool)
@@ -379,8 +393,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
     Labels of rows with crc32(doc_id) mod 3 = 1 are never read.  A doc_id that
-    is null has no label; labels repeated for an id each count.  Without labels
-    of both classes all scores are those of the class that is there (0 if none).
+    is null has no label; labels repeated for an id each count, also where they
+    differ.  Without labels of both classes all scores are those of the class
+    that is there (0 if none).  Very long texts are scored whole, piece by
+    piece.  Repeated rows give repeated rows; other columns are ignored
+    whatever their names.
     """
     known = labels.select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     named = docs.select("doc_id", "text")

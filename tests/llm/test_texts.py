@@ -454,6 +454,58 @@ def test_toxic_misspellings_are_found():
     assert (score[truth == 0] >= 0.7).mean() < 0.05
 
 
+def test_only_copies_within_a_label_count_once():
+    """A footer that all texts share drops none; near copies go, but not those with another label."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    footer = " ".join(word() for _ in range(30))
+    texts = [" ".join(word() for _ in range(70)) + " " + footer for _ in range(300)]
+    assert len(toxicity.distinct_texts(texts, np.zeros(300, int))) == 300
+    copies = [texts[0], texts[0], "x " + texts[0], texts[0], "", ""]
+    assert toxicity.distinct_texts(copies, np.array([0, 0, 0, 1, 0, 0])).tolist() == [0, 3, 4]
+
+
+def test_scores_against_plain_sums():
+    """The score of a text from its words' n-grams one by one; long texts in pieces score the same."""
+    p = toxicity.ToxicityParams(bucket_bits=12)
+    table = np.random.default_rng(1).normal(size=1 << 12).astype(np.float32)
+    model = toxicity.ToxicityModel(table, 0.25, p)
+
+    def bucket(values, n):
+        h = np.uint32(0)
+        with np.errstate(over="ignore"):
+            for k, v in enumerate(values):
+                h = v if k == 0 else h * toxicity._K + v
+            return int(((h * np.uint32(2246822519) + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - p.bucket_bits))
+
+    def plain(text):
+        means = []
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()):
+            padded = [toxicity._FOLD[b] for b in b" " + word + b" "]
+            grams = [bucket(padded[k : k + n], n) for n in p.orders for k in range(len(padded) - n + 1)]
+            whole = toxicity.SubwordBags(pa.array([word.decode()], pa.large_string()), p).word_buckets()[0]
+            means.append(np.mean([table[g] for g in [*grams, whole]]))
+        return np.mean(means) + 0.25 if means else 0.25
+
+    texts = ["Some words here", "a", "été, déjà vu!", "", "x1 y22 z333 " * 5]
+    assert np.allclose(model.logits(pa.array(texts, pa.large_string())), [plain(t) for t in texts], atol=1e-5)
+    long = pa.array(["one two three, four " * 500], pa.large_string())
+    whole, n = toxicity.SubwordBags(long, p).row_sums(table)
+    pieces, m = model._long(long, piece=100)
+    assert n == m and np.allclose(whole, pieces)
+    buckets = toxicity.SubwordBags(pa.array(["form from Form"], pa.large_string()), toxicity.ToxicityParams()).word_buckets()
+    assert buckets[0] != buckets[1] and buckets[0] == buckets[2]
+
+
+def test_scans_in_pieces_are_the_same():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["ab", "é", " ", "\n", "-", "x" * 30]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None]
+    for kind in (textscan.ALNUM, textscan.SPACED):
+        whole, pieces = textscan.scan(pa.array(texts), kind), textscan.scan(pa.array(texts), kind, chunk=16)
+        for name in ("starts", "ends", "rows", "hashes"):
+            assert (getattr(whole, name) == getattr(pieces, name)).all()
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd_documents(spark), labels).collect()
