@@ -79,10 +79,17 @@ f AS (
   SELECT doc_id, k, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x09-\x0D\x20]+', ' ', 'g')) AS form FROM s),
 w AS (SELECT *, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END AS n FROM f),
+c AS (SELECT doc_id, k, n, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w),
+place AS (
+  SELECT a.doc_id, a.k, min(b.k) - a.k + 1 AS size FROM c a JOIN c b
+  ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + 11 AND b.upto - a.upto + a.n >= 12 GROUP BY a.doc_id, a.k
+  UNION SELECT a.doc_id, max(b.k), a.k - max(b.k) + 1 FROM c a JOIN c b
+  ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 11 AND a.k - 1 AND a.upto - b.upto + b.n >= 12 GROUP BY a.doc_id, a.k
+  UNION SELECT doc_id, k, 1 FROM c WHERE n >= 25),
+forms AS (SELECT doc_id, list(form ORDER BY k) AS fs FROM w GROUP BY doc_id),
 span AS (
-  SELECT a.doc_id, a.k, 2 AS size, a.form || chr(10) || b.form AS joint
-  FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.n + b.n >= 12
-  UNION ALL SELECT doc_id, k, 1, form FROM w WHERE n >= 25),
+  SELECT p.doc_id, p.k, p.size, array_to_string(fs[p.k : p.k + p.size - 1], chr(10)) AS joint
+  FROM place p JOIN forms USING (doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY joint ORDER BY doc_id, k) AS nth FROM span),
 gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS k FROM ranked WHERE nth > 1),
 marked AS (

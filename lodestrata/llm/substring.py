@@ -1,8 +1,11 @@
 """Substring deduplication by sliding spans of sentences.
 
-From each sentence, forwards and backwards, the run of consecutive sentences grows until it has enough words;
-these runs, and every very long sentence, are hashed.  Runs that occur more than once anywhere are joined globally; their first occurrence (by doc_id,
-then place) stays, and sentences that any other occurrence covers are removed.
+From each sentence, forwards and backwards, the run of consecutive sentences
+grows until it has enough words; these runs, and every sentence that is long
+enough to be a passage by itself, are hashed.  Hashes are counted over all
+documents first; only spans that occur more than once are then joined
+globally.  The first occurrence (by doc_id, then place) stays, and sentences
+that any other occurrence covers are removed.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textscan
+from lodestrata.llm.joins import HashFilter, skew_join
 from lodestrata.runtime import materialize, ship, small_batches
 
 #: A sentence ends with .!? before white space, or with a line; white space after it belongs to it.
@@ -26,7 +30,9 @@ SENTENCE = re.compile(r"[\x09-\x0D\x20]*(?:[^.!?\n]|[.!?]+[^.!?\x09-\x0D\x20])*(
 class SubstringParams:
     """``run``: least sentences of a span; ``min_words``: a span grows by sentences until it has so many words.
 
-    ``long_words``: a sentence of this many words is a span by itself.
+    Repeats of fewer words (set phrases, greetings) are no duplicates of a
+    passage and stay.  ``long_words``: a sentence of this many words is a span
+    by itself, as its neighbours may differ.
     """
 
     run: int = 2
@@ -93,26 +99,40 @@ class SentenceIndex:
         return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _spans(docs: DataFrame, p: SubstringParams) -> DataFrame:
-    """(span, check, doc_id, print, place): 96 bits name a span."""
+def _check(two: np.ndarray) -> np.ndarray:
+    return (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _repeated(docs: DataFrame, p: SubstringParams) -> DataFrame:
+    """(span, check) of the spans that occur more than once: 96 bits name a span; tasks count theirs before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for part in textscan.slices(batch, "text"):
+                _, _, one, two = SentenceIndex(part.column(0)).spans(p)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(_check(two))], names=["span", "check"])
+
+    counted = docs.select("text").mapInArrow(textscan.released(run), "span long, check int").groupBy("span", "check").count()
+    return materialize(counted.where("count > 1").select("span", "check"), "substring-repeated")
+
+
+def _spans(docs: DataFrame, repeated: DataFrame, p: SubstringParams) -> DataFrame:
+    """(span, check, doc_id, print, place) of the spans that may be repeated ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(HashFilter.of(repeated, "span"))
 
     def run(batches):
         for batch in batches:
             for part in textscan.slices(batch, "text"):
                 rows, places, one, two = SentenceIndex(part.column(2)).spans(p)
-                at = pa.array(rows)
+                known = sent.value.has(one)
+                at = pa.array(rows[known])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one.view(np.int64)),
-                        pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        part.column(0).take(at),
-                        part.column(1).take(at),
-                        pa.array(places),
-                    ],
-                    names=["span", "check", "doc_id", "print", "place"],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(places[known]), pa.array(one[known].view(np.int64)), pa.array(_check(two[known]))],
+                    names=["doc_id", "print", "place", "span", "check"],
                 )
 
-    return docs.select("doc_id", "print", "text").mapInArrow(textscan.released(run), "span long, check int, doc_id long, print long, place long")
+    schema = textscan.schema_with(docs, ["doc_id", "print"], "place long, span long, check int")
+    return materialize(docs.select("doc_id", "print", "text").mapInArrow(textscan.released(run), schema), "substring-spans")
 
 
 def _cut(text: str, places: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -135,20 +155,21 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
 
     ``removed`` lists the places in the old text as start:end, comma-joined.
     Null texts count as empty.  Rows that repeat both id and text count as one
-    document and are treated alike.  A null doc_id comes after all others.
+    document and are treated alike.  A null doc_id comes after all others;
+    ids may be of any type that has an order.  Very long texts are read whole.
+    Other columns are ignored whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("print", F.xxhash64("doc_id", "text"))
-    spans = _spans(own, p)
+    spans = _spans(own, _repeated(own, p), p)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("place").alias("k"))
-    # The first occurrence is the least of four plain columns, kept by a hash aggregation on the map side too.
-    firsts = spans.groupBy("span", "check").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = spans.join(firsts.select("span", "check", "first"), ["span", "check"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("print") == F.col("first.p")) & (F.col("place") == F.col("first.k")))
-    )
+    # The first occurrence is the least of four plain columns, kept by an aggregation on the map side too.
+    firsts = materialize(spans.groupBy("span", "check").agg(F.min(order).alias("first")), "substring-firsts").withColumnRenamed("check", "_check")
+    again = skew_join(spans, firsts, "span", ["print", "place"]).where(F.col("check") == F.col("_check"))
+    again = again.where(~(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("print") == F.col("first.p")) & (F.col("place") == F.col("first.k"))))
     places = materialize(again.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set("place")).alias("places")), "substring-places")
     places = places.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "places")
     joined = own.join(places, (own["print"] == places["_print"]) & own["doc_id"].eqNullSafe(places["_id"]), "left").select("doc_id", "text", "places")
@@ -176,4 +197,5 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
                     names=["doc_id", "text", "n_chars", "n_sentences", "n_removed", "removed"],
                 )
 
-    return joined.mapInArrow(textscan.released(run), "doc_id long, text string, n_chars long, n_sentences long, n_removed long, removed string")
+    schema = textscan.schema_with(docs, ["doc_id"], "text string, n_chars long, n_sentences long, n_removed long, removed string")
+    return joined.mapInArrow(textscan.released(run), schema)
