@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.joins import skew_join
 from lodestrata.runtime import materialize
 
 
@@ -46,7 +47,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         )
         live = materialize(moved, "cc-edges")
         step = parent.select(F.col("node").alias("root"), "up")
-        mapping = mapping.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        # A large component's root is a hot key.
+        mapping = skew_join(mapping, step, "root", ["node"], how="left").select("node", F.coalesce("up", "root").alias("root"))
         mapping = materialize(mapping, "cc-map")
     else:
         raise RuntimeError("components did not converge")

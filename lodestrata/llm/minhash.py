@@ -5,8 +5,10 @@ are cut into ``chunks`` equal pieces; by the pigeonhole principle two
 signatures that differ in at most ``chunks * (errors + 1) - 1`` symbols have a
 chunk with at most ``errors`` differing symbols.  Every way of blanking
 ``errors`` symbols of a chunk is enumerated as an index key, so all pairs
-under that distance meet under some key.  Candidates are confirmed on full
-shingle sets, so the links themselves are exact.
+under that distance meet under some key; no farther pair is looked at, so the
+distance and the guarantee are one.  Candidates are confirmed on full sets of
+64-bit shingle hashes, so only an equal hash of different shingles (about 3 in
+10**20 for each pair of them) could make a link wrong.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import textscan
 from lodestrata.llm.components import connected_components
+from lodestrata.llm.joins import skew_join
 from lodestrata.runtime import materialize, ship, small_batches
 
 
@@ -31,24 +34,27 @@ from lodestrata.runtime import materialize, ship, small_batches
 class NearDuplicateParams:
     """``percent``: links have 100 * intersection >= percent * union.
 
-    ``slack``: candidates are looked at up to the expected distance at the
-    threshold plus this many standard deviations; distances up to
-    ``guaranteed`` are complete whatever the hashes do.
+    The signature distance that is searched, completely, follows from chunks
+    and errors.  A pair at the threshold similarity differs in a binomial
+    number of symbols; 20 chunks of 5 symbols reach 4.9 standard deviations
+    beyond its mean, which about 2 in a million such pairs exceed, and fewer
+    of more similar ones.
     """
 
     shingle: int = 5
     percent: int = 80
-    chunks: int = 12
-    chunk_symbols: int = 6
+    chunks: int = 20
+    chunk_symbols: int = 5
     errors: int = 1
-    slack: float = 5.0
-    tile: int = 512
-    broadcast_rows: int = 1_000_000
+    tile: int = 256
+    broadcast_rows: int = 100_000
+    #: Close pairs that a tile emits for each of its rows; a tile of more is verified in place, on whole sets.
+    dense: int = 8
     seed: int = 17
 
     def __post_init__(self):
-        if not 1 <= self.chunk_symbols - self.errors <= 6:
-            raise ValueError("an index key holds one to six symbols")
+        if self.chunk_symbols <= self.errors or len(self.kept_symbols) * self.chunks > 256:
+            raise ValueError("a key keeps at least one symbol, and there are at most 256 kinds of keys")
 
     @property
     def kept_symbols(self) -> list[tuple[int, ...]]:
@@ -59,15 +65,10 @@ class NearDuplicateParams:
     def symbols(self) -> int:
         return self.chunks * self.chunk_symbols
 
-    @property
-    def guaranteed(self) -> int:
-        return self.chunks * (self.errors + 1) - 1
-
     @property
     def distance(self) -> int:
-        miss = 1 - self.percent / 100
-        wide = self.symbols * miss + self.slack * (self.symbols * miss * (1 - miss)) ** 0.5
-        return min(self.symbols, max(self.guaranteed, int(np.ceil(wide))))
+        """Symbols in which a pair may differ and is still certain to share a key."""
+        return self.chunks * (self.errors + 1) - 1
 
     def multipliers(self) -> np.ndarray:
         raw = textscan.mix(np.arange(1, self.symbols + 1, dtype=np.uint64) * np.uint64(self.seed * 2 + 1))
@@ -81,12 +82,17 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(items: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """One 8-bit symbol per multiplier: bits of the least product over the set."""
+    """One 16-bit symbol per multiplier: bits of the least product over the set."""
     least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(items), 2048):
         part = items[at : at + 2048]
         np.minimum(least, (multipliers[:, None] * part[None, :]).min(axis=1), out=least)
-    return ((textscan.mix(least) >> np.uint64(20)) & np.uint64(255)).astype(np.uint8)
+    return ((textscan.mix(least) >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def _symbols(column, p: NearDuplicateParams) -> np.ndarray:
+    """Packed signatures as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, p.symbols)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -118,8 +124,8 @@ def _profile(docs: DataFrame, p: NearDuplicateParams) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textscan.released(run), "doc_id long, n_shingles long, digest binary, signature binary"
-    )
+    schema = textscan.schema_with(docs, ["doc_id"], "n_shingles long, digest binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(textscan.released(run), schema)
 
 
 def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
@@ -130,13 +136,14 @@ def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, p.chunks, p.chunk_symbols).astype(np.uint64)
+            symbols = _symbols(batch.column(1), p).reshape(-1, p.chunks, p.chunk_symbols).astype(np.uint64)
             out = np.empty((batch.num_rows, p.chunks, len(keep)), dtype=np.uint64)
             for k, chosen in enumerate(keep):
-                packed = np.broadcast_to(np.arange(p.chunks, dtype=np.uint64) * np.uint64(len(keep)) + np.uint64(k), symbols.shape[:2]).copy()
+                slot = np.broadcast_to(np.arange(p.chunks, dtype=np.uint64) * np.uint64(len(keep)) + np.uint64(k), symbols.shape[:2])
+                packed = slot
                 for place in chosen:
-                    packed = packed * np.uint64(256) + symbols[:, :, place]
-                out[:, :, k] = packed
+                    packed = textscan.mix(packed * np.uint64(0x9E3779B97F4A7C15) + symbols[:, :, place])
+                out[:, :, k] = packed << np.uint64(8) | slot  # the last byte tells the kind of key
             width = out.shape[1] * out.shape[2]
             node = np.repeat(np.asarray(batch.column(0)), width)
             yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
@@ -156,9 +163,7 @@ def _close_pairs(pairs: DataFrame, nodes: DataFrame, p: NearDuplicateParams) ->
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sa = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, p.symbols)
-            sb = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, p.symbols)
-            near = (sa != sb).sum(axis=1) <= p.distance
+            near = (_symbols(batch.column(2), p) != _symbols(batch.column(3), p)).sum(axis=1) <= p.distance
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"]
             )
@@ -205,14 +210,21 @@ class _Sets:
                     )
 
         ids = needed.select(F.col("min_doc").alias("doc_id")).distinct()
-        docs = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        chosen = docs.join(_small(ids.dropna(), p.broadcast_rows), "doc_id", "left_semi")
+        docs = self.docs.select("doc_id", "text")
+        chosen = docs.join(_small(ids.dropna(), 10 * p.broadcast_rows), "doc_id", "left_semi")  # else whole texts are shuffled
         if not ids.where("doc_id is null").isEmpty():
             chosen = chosen.union(docs.where("doc_id is null"))
         found = chosen.select("text").mapInArrow(textscan.released(run), "digest binary, items binary")
         # Rows that repeat an id or a set give the same digest; one of them is enough.
         wanted = needed.select("node", "digest")
-        return found.join(_small(wanted, p.broadcast_rows // 4), "digest").groupBy("node").agg(F.first("items").alias("items"))
+        return found.join(_small(wanted, p.broadcast_rows), "digest").groupBy("node").agg(F.first("items").alias("items"))
+
+
+def _linked(x: np.ndarray, y: np.ndarray, p: NearDuplicateParams) -> bool:
+    """Whether two sorted sets are as similar as links are."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= p.percent * (len(x) + len(y) - common)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataFrame:
@@ -221,10 +233,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> Data
             keep = np.zeros(batch.num_rows, dtype=bool)
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = 100 * common >= p.percent * (len(x) + len(y) - common)
+                keep[i] = _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), p)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
@@ -239,65 +248,43 @@ def _chain(batches) -> Iterator[pa.Table | None]:
     yield None
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, p: NearDuplicateParams, nearest: int | None) -> DataFrame:
-    """Candidate pairs of different components that share a key.
+def _close_in_tile(group: pa.Table, p: NearDuplicateParams, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, distance) of a tile's close pairs of different components whose sizes allow a link.
 
-    A key's members of its largest component are dealt to tiles of bounded
-    size; its other members visit each of those tiles, and the pairs of tiles
-    that they make up themselves.  Tiles are compared on signatures only;
-    nothing but close pairs leaves one.  With ``nearest``, each node outside
-    the largest component emits just its nearest partners; without, all close
-    pairs are emitted.
+    ``once``: only those whose first shared key is the tile's, so that every pair is named by one key.
     """
-
     blanks = p.kept_symbols
-
-    def first_key(equal: np.ndarray) -> np.ndarray:
-        """The number of the first key that each pair shares."""
-        equal = equal.reshape(len(equal), p.chunks, p.chunk_symbols)
-        shared = np.stack([equal[:, :, list(chosen)].all(axis=2) for chosen in blanks], axis=2).reshape(len(equal), p.chunks * len(blanks))
-        return shared.argmax(axis=1)
-
-    def tile_pairs(key, node, root, half, size, inner, same, sig) -> tuple[np.ndarray, np.ndarray]:
-        none = np.empty(0, np.int64)
-        if (root == root[0]).all():
-            return none, none
-        out_a, out_b = [], []
-        for i in range(len(node)) if same else np.flatnonzero(half == 0):
-            others = np.flatnonzero((root != root[i]) & ((node > node[i]) if same else (half == 1)))
-            least = np.minimum(size[others], size[i])
-            others = others[100 * least >= p.percent * np.maximum(size[others], size[i])]
-            equal = sig[others] == sig[i]
-            near = equal.sum(axis=1) >= p.symbols - p.distance
-            others, equal = others[near], equal[near]
-            if nearest is None:  # a pair is named by one key only
-                others = others[first_key(equal) == key >> (8 * len(blanks[0]))]
-            out_a.append(np.full(len(others), i))
-            out_b.append(others)
-        x, y = (np.concatenate(part) if part else none for part in (out_a, out_b))
-        if nearest is not None and len(x):
-            far = (sig[x] != sig[y]).sum(axis=1)
-            ends, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
-            weight = np.concatenate([far, far])
-            small = (half[ends] == 1) | bool(inner)
-            ends, pair, weight = ends[small], pair[small], weight[small]
-            order = np.lexsort((pair, weight, ends))
-            ends, pair = ends[order], pair[order]
-            pair = np.unique(pair[np.arange(len(ends)) - np.searchsorted(ends, ends) < nearest])
-            x, y = x[pair], y[pair]
-        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-
-    def run(batches):
-        for group in _groups(batches, ("key", "inner", "t1", "t2")):
-            if group.num_rows < 2:
-                continue
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, p.symbols)
-            key, node, root, half, size, inner, same = (
-                np.asarray(group.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "inner", "same")
-            )
-            left, right = tile_pairs(int(key[0]), node, root, half, size, inner[0], bool(same[0]), sig)
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
-
+    key, node, root, half, size, same = (np.asarray(group.column(name)) for name in ("key", "node", "root", "half", "n_shingles", "same"))
+    none = np.empty(0, np.int64)
+    if (root == root[0]).all():
+        return none, none, none
+    sig = _symbols(group.column("signature"), p)
+    out_a, out_b, out_d = [], [], []
+    for i in range(len(node)) if same[0] else np.flatnonzero(half == 0):
+        others = np.flatnonzero((root != root[i]) & ((node > node[i]) if same[0] else (half == 1)))
+        others = others[100 * np.minimum(size[others], size[i]) >= p.percent * np.maximum(size[others], size[i])]
+        equal = sig[others] == sig[i]
+        far = p.symbols - equal.sum(axis=1)
+        near = far <= p.distance
+        others, equal, far = others[near], equal[near], far[near]
+        if once:
+            equal = equal.reshape(len(equal), p.chunks, p.chunk_symbols)
+            shared = np.stack([equal[:, :, list(chosen)].all(axis=2) for chosen in blanks], axis=2).reshape(len(equal), p.chunks * len(blanks))
+            first = shared.argmax(axis=1) == (int(key[0]) & 255)
+            others, far = others[first], far[first]
+        out_a.append(np.full(len(others), i))
+        out_b.append(others)
+        out_d.append(far)
+    return tuple(np.concatenate(part) if part else none for part in (out_a, out_b, out_d))
+
+
+def _dealt(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of keys dealt to tiles of bounded size: (key, inner, t1, t2, node, root, signature, n_shingles, half, same).
+
+    A key's members of its largest component stay in one tile each; its other
+    members visit each of those tiles, and the pairs of tiles that they make
+    up themselves.
+    """
     own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("tiles")).otherwise(F.col("outer_tiles"))).cast("int")
     place = F.struct
     zero, one = F.lit(0), F.lit(1)
@@ -317,7 +304,7 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, p: NearDuplicateParams, n
         ),
     )
     members = members.join(nodes.select("node", "signature", "n_shingles"), "node")
-    tiled = members.withColumn("own", own).select(
+    return members.withColumn("own", own).select(
         "key",
         "node",
         "root",
@@ -325,8 +312,75 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, p: NearDuplicateParams, n
         "n_shingles",
         F.inline(F.when(F.col("root") == F.col("major"), stay).otherwise(F.concat(visits, among))),
     )
-    dealt = tiled.repartition("key", "inner", "t1", "t2").sortWithinPartitions("key", "inner", "t1", "t2")
-    return dealt.mapInArrow(textscan.released(run), "a long, b long")
+
+
+_TILE = ("key", "inner", "t1", "t2")
+
+
+def _cross_pairs(dealt: DataFrame, p: NearDuplicateParams, nearest: int | None) -> DataFrame:
+    """(a, b, key, inner, t1, t2): candidate pairs of different components, compared on signatures tile by tile.
+
+    With ``nearest``, each node outside the largest component emits just its
+    nearest partners.  Without, a tile emits its close pairs, at most ``dense``
+    for each of its rows; a tile of more emits only its own name (no a and b).
+    """
+
+    def run(batches):
+        for group in _groups(batches, _TILE):
+            if group.num_rows < 2:
+                continue
+            x, y, far = _close_in_tile(group, p, once=nearest is None)
+            node, tile = np.asarray(group.column("node")), [group.column(name)[0].as_py() for name in _TILE]
+            full = nearest is None and len(x) > p.dense * group.num_rows
+            if nearest is not None and len(x):
+                ends, pair, weight = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2), np.concatenate([far, far])
+                asks = (np.asarray(group.column("half"))[ends] == 1) | bool(tile[1])
+                ends, pair, weight = ends[asks], pair[asks], weight[asks]
+                order = np.lexsort((pair, weight, ends))
+                ends, pair = ends[order], pair[order]
+                pair = np.unique(pair[np.arange(len(ends)) - np.searchsorted(ends, ends) < nearest])
+                x, y = x[pair], y[pair]
+            a, b = (pa.nulls(1, pa.int64()),) * 2 if full else (pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])))
+            named = [pa.array([value] * len(a), pa.int64() if name == "key" else pa.int32()) for name, value in zip(_TILE, tile, strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, *named], names=["a", "b", *_TILE])
+
+    return _in_tiles(dealt).mapInArrow(textscan.released(run), "a long, b long, key long, inner int, t1 int, t2 int")
+
+
+def _in_tiles(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(*_TILE).sortWithinPartitions(*_TILE)
+
+
+def _dense_links(tiles: DataFrame, dealt: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """(a, b): true links of the named tiles, found on whole sets in place; of each tile only as many as join its rows."""
+
+    def run(batches):
+        for group in _groups(batches, _TILE):
+            node = np.asarray(group.column("node"))
+            items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+            up = list(range(len(node)))
+
+            def find(i: int, up: list[int] = up) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            roots: dict[int, int] = {}
+            for i, root in enumerate(np.asarray(group.column("root")).tolist()):
+                up[i] = roots.setdefault(root, i)  # known components are joined already
+            a, b = [], []
+            x, y, far = _close_in_tile(group, p, once=True)
+            for k in np.argsort(far, kind="stable").tolist():
+                i, j = find(int(x[k])), find(int(y[k]))
+                if i != j and _linked(items[x[k]], items[y[k]], p):
+                    up[j] = i
+                    a.append(min(node[x[k]], node[y[k]]))
+                    b.append(max(node[x[k]], node[y[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = dealt.join(_small(tiles, p.broadcast_rows), list(_TILE)).join(sets, "node")
+    return _in_tiles(rows).mapInArrow(textscan.released(run), "a long, b long")
 
 
 def _groups(batches, keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -359,17 +413,14 @@ def _outlier_links(visits: DataFrame, stays: DataFrame, nodes: DataFrame, sets:
             own, guests = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
             if len(own) == 0 or len(guests) == 0:
                 continue
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, p.symbols)
+            sig = _symbols(group.column("signature"), p)
             items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
             a, b = [], []
             for guest in guests:
                 far = (sig[own] != sig[guest]).sum(axis=1)
                 fits = (far <= p.distance) & (100 * np.minimum(size[own], size[guest]) >= p.percent * np.maximum(size[own], size[guest]))
                 for other in own[fits][np.argsort(far[fits], kind="stable")]:
-                    x, y = items[guest], items[other]
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    common = int((y[at] == x).sum())
-                    if 100 * common >= p.percent * (len(x) + len(y) - common):
+                    if _linked(items[guest], items[other], p):
                         a.append(min(node[guest], node[other]))
                         b.append(max(node[guest], node[other]))
                         break
@@ -378,12 +429,12 @@ def _outlier_links(visits: DataFrame, stays: DataFrame, nodes: DataFrame, sets:
     def tiles(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / p.tile).cast("int").alias(name))
 
-    sizes = tiles(stays, "n1").join(tiles(visits, "n2"), "root")
+    sizes = materialize(tiles(stays, "n1").join(tiles(visits, "n2"), "root"), "nd-sizes")
 
     def dealt(df: DataFrame, visitor: int, own: str, other: str) -> DataFrame:
         place = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        rows = df.join(sizes, "root").select("root", "node", place.alias("t1" if visitor == 0 else "t2"), each.alias("t2" if visitor == 0 else "t1"))
+        rows = skew_join(df, sizes, "root", ["node"]).select("root", "node", place.alias("t1" if visitor == 0 else "t2"), each.alias("t2" if visitor == 0 else "t1"))
         return rows.select("root", "t1", "t2", "node", F.lit(visitor).alias("visitor"))
 
     rows = dealt(stays, 0, "n1", "n2").unionByName(dealt(visits, 1, "n2", "n1"))
@@ -414,7 +465,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = materialize(shared.where("n > 1"), "nd-keys")
     crowded = shared.where("n > 2").select("key", "lo")
-    members = materialize(keys.join(_small(crowded, p.broadcast_rows // 2), "key"), "nd-members")
+    members = materialize(keys.join(_small(crowded, p.broadcast_rows), "key"), "nd-members")
     pairs = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(
         members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     )
@@ -470,7 +521,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         mixed = materialize(mixed, "nd-mixed")
         if mixed.isEmpty():
             break
-        open_members = rooted.join(_small(mixed, p.broadcast_rows // 4), "key")
+        open_members = rooted.join(_small(mixed, p.broadcast_rows), "key")
         if nearest is not None:  # each node outside the largest component asks in its most crowded key
             outer = open_members.where("root <> major")
             asked = materialize(outer.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("key")), "nd-asked")
@@ -482,9 +533,14 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
             whole = sets.covering(visits.select("node").union(stays.select("node")))
             links.append(materialize(_outlier_links(visits, stays, nodes, whole, p), "nd-outlier-links"))
-            confirm(_cross_pairs(outer, nodes, p, None), "nd-cross")
+            dealt = _dealt(outer, nodes)
+            found = materialize(_cross_pairs(dealt, p, None), "nd-cross")
+            tiles = materialize(found.where("a is null").select(*_TILE), "nd-dense")
+            if not tiles.isEmpty():
+                links.append(materialize(_dense_links(tiles, dealt, whole, p), "nd-dense-links"))
+            confirm(found.where("a is not null").select("a", "b"), "nd-sparse")
             break
-        share = confirm(_cross_pairs(open_members, nodes, p, nearest), "nd-cross")
+        share = confirm(_cross_pairs(_dealt(open_members, nodes), p, nearest).select("a", "b"), "nd-cross")
         nearest = nearest if share >= 0.05 else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))
@@ -492,7 +548,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
     else:
         labelled = nodes.select("digest", "node", "min_doc").withColumn("root", F.col("node"))
     names = labelled.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    return rows, labelled.join(names, "root").select("digest", "root", "component_id")
+    return rows, skew_join(labelled, materialize(names, "nd-names"), "root", ["node"]).select("digest", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
@@ -502,7 +558,8 @@ def near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParam
     A null or wordless text has an empty set and is linked with nothing.
     Repeated rows give repeated rows.  A null doc_id links like any other but
     names no component unless no member has an id.  An empty table gives an
-    empty result.
+    empty result.  Ids may be of any type that has an order.  Very long texts
+    are read whole.
     """
     rows, classes = near_duplicate_classes(docs, p)
     found = rows.select("doc_id", "n_shingles", "digest").join(classes.select("digest", F.col("component_id").alias("c")), "digest", "left")
@@ -526,6 +583,6 @@ def drop_near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicate
     other = decisions.where("not kept").select(F.col("doc_id").alias("_id")).distinct().alias("d")
     ids = kept.distinct().alias("k")
     gone = materialize(other.join(ids, F.col("d._id").eqNullSafe(F.col("k._id")), "left_anti").select(F.col("d._id").alias("_id")), "nd-dropped")
-    same: Column = docs["doc_id"].cast("long").eqNullSafe(gone["_id"])
-    left = docs.join(_small(gone, p.broadcast_rows), same, "left_anti")
+    same: Column = docs["doc_id"].eqNullSafe(gone["_id"])
+    left = docs.join(_small(gone, 10 * p.broadcast_rows), same, "left_anti")
     return left.dropDuplicates(["doc_id", "text"]) if repeats else left

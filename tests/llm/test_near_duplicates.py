@@ -87,6 +87,44 @@ def test_drop_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 9]
 
 
+def test_near_misses_leave_tiles_as_links_only(spark, monkeypatch):
+    """Texts that nearly all miss the threshold: rows written by the search grow with the group, not with its square."""
+    from lodestrata.llm import minhash
+
+    written = {}
+    plain = minhash.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    sizes = {}
+    for g in (100, 300):
+        rng = random.Random(g)
+        base = [f"w{k}" for k in range(100)]
+        rows = []
+        for i in range(g):
+            text = list(base)
+            for k in rng.sample(range(100), 4):
+                text[k] = f"x{i}_{k}"
+            rows.append((i, " ".join(text)))
+        written.clear()
+        got = near_duplicates(documents(spark, rows), NearDuplicateParams(shingle=2, tile=32)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 2, 80)
+        sizes[g] = sum(n for name, n in written.items() if name in ("nd-star", "nd-cross", "nd-sparse", "nd-dense-links", "nd-outlier-links"))
+    assert sizes[300] < 4 * sizes[100], sizes  # three times the texts
+
+
+def test_names_of_any_type(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([("b", text), ("a", text + " end"), ("c", "other text of its own")], "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(docs).collect()) == ["a", "c"]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32))
 def test_pigeonhole_guarantee(seed):
@@ -97,7 +135,7 @@ def test_pigeonhole_guarantee(seed):
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 256, p.symbols)
     b = a.copy()
-    b[rng.choice(p.symbols, p.guaranteed, replace=False)] ^= 1
+    b[rng.choice(p.symbols, p.distance, replace=False)] ^= 1
     equal = (a == b).reshape(p.chunks, p.chunk_symbols)
     assert any(equal[:, list(k)].all(axis=1).any() for k in p.kept_symbols)
 
