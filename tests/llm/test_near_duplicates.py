@@ -101,7 +101,7 @@ def test_near_misses_leave_tiles_as_links_only(spark, monkeypatch):
 
     monkeypatch.setattr(minhash, "materialize", counted)
     sizes = {}
-    for g in (100, 300):
+    for g in (150, 600):
         rng = random.Random(g)
         base = [f"w{k}" for k in range(100)]
         rows = []
@@ -111,10 +111,10 @@ def test_near_misses_leave_tiles_as_links_only(spark, monkeypatch):
                 text[k] = f"x{i}_{k}"
             rows.append((i, " ".join(text)))
         written.clear()
-        got = near_duplicates(documents(spark, rows), NearDuplicateParams(shingle=2, tile=32)).collect()
+        got = near_duplicates(documents(spark, rows), NearDuplicateParams(shingle=2, tile=64)).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 2, 80)
         sizes[g] = sum(n for name, n in written.items() if name in ("nd-star", "nd-cross", "nd-sparse", "nd-dense-links", "nd-outlier-links"))
-    assert sizes[300] < 4 * sizes[100], sizes  # three times the texts
+    assert sizes[600] < 6 * sizes[150], sizes  # four times the texts, sixteen times the pairs
 
 
 def test_names_of_any_type(spark):
