@@ -1,14 +1,18 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Queries are grouped by their nearest pivot.  A group's radius bounds how far
-any of its queries' scores can lie from the pivot's: |q.v - p.v| <= r |v|.
-From all data, each group's lower bound on its k-th best score follows, and a
-data vector is sent only to the groups whose bound it can reach.  Groups are
+Queries and data are both assigned to their nearest pivots.  Summaries of the
+cells (numbers and radii) bound every score between a query cell and a data
+cell: with pivots p and c and radii r and s, q.v lies within
+r |c| + s (|p| + r) of p.c.  They, and the data vectors' own bounds
+|q.v - p.v| <= r |v|, give each query cell a floor under its k-th best score.
+A data cell that cannot reach the floor is pruned for the query cell as a
+whole, the others vector by vector; what is left is sent there.  Cells are
 solved in blocks of bounded size, and the blocks' best are merged.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,18 +23,24 @@ from pyspark.sql import functions as F
 from lodestrata.runtime import materialize, ship, small_batches
 
 
+_LOG = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class TopKParams:
     """``block``: queries solved together; ``slice_rows``: data vectors that meet them at once.
 
-    ``max_pivots`` bounds the pivots, and with them the summaries on the driver.
+    A cell of q queries that n data vectors can reach moves
+    q n / slice_rows + n q / block vectors.  ``pivots`` bounds the number of
+    pivots below (as far as there are queries) and above, and with it the
+    summaries on the driver.
     """
 
     k: int = 5
     scale: int = 256
-    block: int = 1024
-    slice_rows: int = 8192
-    max_pivots: int = 256
+    block: int = 4096
+    slice_rows: int = 32768
+    pivots: tuple[int, int] = (16, 256)
 
 
 def scaled_vectors(vectors: DataFrame, p: TopKParams) -> DataFrame:
@@ -83,97 +93,138 @@ def _least_ids(vectors: DataFrame, n: int) -> DataFrame:
     return part.groupBy("dim", "v").agg(merged)
 
 
+class Cells:
+    """Pivots, and what is known of the query and data cells around them; bounds on the scores between them."""
+
+    def __init__(self, pivots: np.ndarray, k: int):
+        n = len(pivots)
+        self.pivots, self.k = pivots, k
+        self.radius, self.queries = np.zeros(n), np.zeros(n, dtype=np.int64)
+        self.spread, self.data = np.zeros(n), np.zeros(n, dtype=np.int64)
+        self.floor = np.full(n, -np.inf)
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance from its pivot) of each vector."""
+        x = x.astype(np.float64)
+        square = (x**2).sum(axis=1)[:, None] - 2 * x @ self.pivots.T + (self.pivots**2).sum(axis=1)[None, :]
+        cell = square.argmin(axis=1)
+        return cell.astype(np.int32), np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
+
+    def of_vectors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least, most) score of each vector with any query of each cell."""
+        x = x.astype(np.float64)
+        middle, wide = x @ self.pivots.T, np.sqrt((x**2).sum(axis=1))[:, None] * self.radius[None, :]
+        slack = 1e-9 * (np.abs(middle) + wide) + 1e-6
+        return middle - wide - slack, middle + wide + slack
+
+    def of_cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """(least, most) score between any query of a cell (rows) and any vector of a cell (columns)."""
+        length = np.sqrt((self.pivots**2).sum(axis=1))
+        middle = self.pivots @ self.pivots.T
+        wide = self.radius[:, None] * length[None, :] + self.spread[None, :] * (length + self.radius)[:, None]
+        slack = 1e-9 * (np.abs(middle) + wide) + 1e-6
+        return middle - wide - slack, middle + wide + slack
+
+    def raise_floors(self) -> None:
+        """A query cell's k + 1 best score no less than that of the data cells that promise most, until they hold so many vectors."""
+        least, _ = self.of_cells()
+        for cell in range(len(self.pivots)):
+            order = np.argsort(-least[cell], kind="stable")
+            enough = np.flatnonzero(np.cumsum(self.data[order]) > self.k)
+            if len(enough):
+                self.floor[cell] = max(self.floor[cell], least[cell][order[enough[0]]])
+
+    def allowed(self) -> np.ndarray:
+        """Which query cells (rows) need any vector of which data cells (columns)."""
+        _, most = self.of_cells()
+        return (most >= self.floor[:, None]) & (self.queries > 0)[:, None] & (self.data > 0)[None, :]
+
+
 def _of_dimension(data: DataFrame, asked: DataFrame, dim: int, p: TopKParams) -> DataFrame:
     """(v, best): the k + 1 best (score, vec_id) of each distinct query vector of one dimension."""
     spark = data.sparkSession
     data, asked = data.where(F.col("dim") == dim), asked.where(F.col("dim") == dim).select("v").distinct()
     n_queries = asked.count()
-    n_pivots = int(min(p.max_pivots, max(1, -(-n_queries // p.block))))
-    pivots = np.stack([np.frombuffer(r["v"], "<i8") for r in asked.orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()]).astype(np.float64)
-    sent = spark.sparkContext.broadcast(pivots)  # at most max_pivots vectors
+    n_pivots = int(min(p.pivots[1], max(min(n_queries, p.pivots[0]), -(-n_queries // p.block))))
+    chosen = asked.orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()
+    cells = Cells(np.stack([np.frombuffer(r["v"], "<i8") for r in chosen]).astype(np.float64), p.k)
 
-    def locate(batches):
-        centre = sent.value
+    def locate(batches, cells=cells):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _matrix(batch.column(0), dim).astype(np.float64)
-            square = (x**2).sum(axis=1)[:, None] - 2 * x @ centre.T + (centre**2).sum(axis=1)[None, :]
-            cell = square.argmin(axis=1)
-            away = np.sqrt(((x - centre[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(away)], names=["v", "cell", "away"])
+            if batch.num_rows:
+                cell, away = cells.near(_matrix(batch.column(0), dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
 
     placed = materialize(asked.mapInArrow(locate, "v binary, cell int, away double"), "knn-queries")
-    radius, held = np.zeros(n_pivots), np.zeros(n_pivots, dtype=np.int64)
-    for row in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
-        radius[row["cell"]], held[row["cell"]] = row["r"] * (1 + 1e-9) + 1e-6, row["n"]
-
-    def reach(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(np.float64)
-        middle, wide = x @ sent.value.T, np.sqrt((x**2).sum(axis=1))[:, None] * radius[None, :]
-        slack = 1e-9 * (np.abs(middle) + wide) + 1e-6
-        return middle - wide - slack, middle + wide + slack
+    data = materialize(data.select("v", "ids").mapInArrow(locate, "v binary, ids array<long>, cell int, away double"), "knn-cells")
+    for df, wide, held in ((placed, cells.radius, cells.queries), (data, cells.spread, cells.data)):
+        for row in df.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+            wide[row["cell"]], held[row["cell"]] = row["r"] * (1 + 1e-9) + 1e-6, row["n"]
 
     def lower(batches):
         best = np.full((0, n_pivots), -np.inf)
         for batch in batches:
             if batch.num_rows:
-                best = np.concatenate([best, reach(_matrix(batch.column(0), dim))[0]])
+                best = np.concatenate([best, cells.of_vectors(_matrix(batch.column(0), dim))[0]])
                 best = -np.sort(-best, axis=0)[: p.k + 1]
-        cells = np.tile(np.arange(n_pivots, dtype=np.int32), len(best))
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(best.reshape(-1))], names=["cell", "low"])
+        numbers = np.tile(np.arange(n_pivots, dtype=np.int32), len(best))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(best.reshape(-1))], names=["cell", "low"])
 
-    # Every data vector gives a floor for each group; a group's k + 1 best floors bound what its queries find.
+    # Every data vector gives a floor for each query cell; the k + 1 best floors bound what its queries find.
     floors = data.select("v").mapInArrow(lower, "cell int, low double")
     floors = floors.groupBy("cell", F.pmod(F.spark_partition_id(), F.lit(64)).alias("s")).agg(_most("low", p.k + 1)).groupBy("cell")
     floors = floors.agg(F.slice(F.sort_array(F.flatten(F.collect_list("low")), asc=False), 1, p.k + 1).alias("low")).collect()
-    bound = np.full(n_pivots, -np.inf)
     for row in floors:  # one row per pivot
         if len(row["low"]) == p.k + 1:
-            bound[row["cell"]] = row["low"][-1]
+            cells.floor[row["cell"]] = row["low"][-1]
+    cells.raise_floors()
+    allowed = cells.allowed()
+    reached = allowed @ cells.data
+    _LOG.info("vectors of %d: %d pivots, %.1f %% of the pairs of query cells and data vectors pruned by cells", dim, n_pivots, 100 * pruned_share(cells))
 
     def replicate(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows, cells = np.nonzero((reach(_matrix(batch.column(0), dim))[1] >= bound[None, :]) & (held > 0)[None, :])
+            can = allowed[:, np.asarray(batch.column(2))].T & (cells.of_vectors(_matrix(batch.column(0), dim))[1] >= cells.floor[None, :])
+            rows, numbers = np.nonzero(can)
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "v", "ids"])
 
-    blocks = np.maximum(1, -(-held // p.block))
-    n_data = data.count()
-    n_slices = max(1, -(-n_data // p.slice_rows))
-    of_cell: Column = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
+    def of_cell(numbers: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col("cell") + 1)
+
+    blocks, parts = np.maximum(1, -(-cells.queries // p.block)), np.maximum(1, -(-reached // p.slice_rows))
     sent_data = (
-        data.select("v", "ids")
+        data.select("v", "ids", "cell")
         .mapInArrow(replicate, "cell int, v binary, ids array<long>")
-        .withColumn("part", F.pmod(F.xxhash64("v"), F.lit(n_slices)))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
+        .withColumn("part", F.pmod(F.xxhash64("v"), of_cell(parts)).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)))
     )
     sent_queries = placed.select(
-        "cell", "v", F.pmod(F.xxhash64("v"), of_cell).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slices - 1).cast("long"))).alias("part")
+        "cell", "v", F.pmod(F.xxhash64("v"), of_cell(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)).alias("part")
     )
 
     def solve(queries: pa.Table, found: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or found.num_rows == 0:
             return pa.table({"v": pa.array([], pa.binary()), "score": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64())})
-        scores = _products(_matrix(queries.column("v"), dim), _matrix(found.column("v"), dim))
+        asked, given = _matrix(queries.column("v"), dim), _matrix(found.column("v"), dim)
         ids = found.column("ids").to_pylist()
         least = np.array([x[0] for x in ids])
-        names = queries.column("v").to_pylist()
         out_v, out_s, out_i = [], [], []
-        for row, name in enumerate(names):
-            line = scores[row]
-            if len(line) > p.k + 1:
-                edge = np.partition(line, len(line) - p.k - 1)[len(line) - p.k - 1]
-                at = np.flatnonzero(line >= edge)
-            else:
-                at = np.arange(len(line))
-            at = at[np.lexsort((least[at], -line[at]))][: p.k + 1]
-            best = sorted((-int(line[a]), i) for a in at for i in ids[a])[: p.k + 1]
-            out_v += [name] * len(best)
-            out_s += [-s for s, _ in best]
-            out_i += [i for _, i in best]
+        for first in range(0, len(asked), 256):  # so many lines of scores are held at once
+            names = queries.column("v").slice(first, 256).to_pylist()
+            for name, line in zip(names, _products(asked[first : first + 256], given), strict=True):
+                if len(line) > p.k + 1:
+                    edge = np.partition(line, len(line) - p.k - 1)[len(line) - p.k - 1]
+                    at = np.flatnonzero(line >= edge)
+                else:
+                    at = np.arange(len(line))
+                at = at[np.lexsort((least[at], -line[at]))][: p.k + 1]
+                best = sorted((-int(line[a]), i) for a in at for i in ids[a])[: p.k + 1]
+                out_v += [name] * len(best)
+                out_s += [-s for s, _ in best]
+                out_i += [i for _, i in best]
         return pa.table({"v": pa.array(out_v, pa.binary()), "score": pa.array(out_s, pa.int64()), "vec_id": pa.array(out_i, pa.int64())})
 
     keys = ("cell", "block", "part")
@@ -182,6 +233,12 @@ def _of_dimension(data: DataFrame, asked: DataFrame, dim: int, p: TopKParams) ->
     return solved.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(ranked)), 1, p.k + 1).alias("best"))
 
 
+def pruned_share(cells: Cells) -> float:
+    """Of all pairs of a query cell and a data vector, the share that cell bounds rule out."""
+    pairs = int((cells.queries > 0).sum()) * int(cells.data.sum())
+    return 1 - int((cells.allowed() @ cells.data).sum()) / pairs if pairs else 0.0
+
+
 def _most(name: str, n: int) -> Column:
     return F.slice(F.sort_array(F.collect_list(name), asc=False), 1, n).alias(name)
 
@@ -191,8 +248,10 @@ def top_k(vectors: DataFrame, is_query: Column, p: TopKParams = TopKParams()) ->
 
     ``is_query`` is a condition on vec_id.  Candidates are all ids but the
     query's own; equal scores go to the smaller id.  A row that repeats both id
-    and vector counts once; vectors of other lengths are no candidates.  An
-    empty table gives an empty result.
+    and vector counts once; vectors of other lengths are no candidates.  Null
+    and non-finite vectors, and rows without an id, take no part.  Very long
+    vectors are held in blocks of rows like others.  An empty table gives an
+    empty result; other columns are ignored whatever their names.
     """
     spark = vectors.sparkSession
     ship(spark)

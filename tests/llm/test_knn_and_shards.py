@@ -21,7 +21,7 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block,slice_rows", [(1024, 8192), (3, 7)])
+@pytest.mark.parametrize("block,slice_rows", [(4096, 32768), (3, 7)])
 def test_top_k(spark, block, slice_rows):
     """Small blocks make many groups and slices; a third of the rows share one vector, and scores tie."""
     rng = random.Random(7)
@@ -32,6 +32,44 @@ def test_top_k(spark, block, slice_rows):
     assert {tuple(r) for r in got.collect()} == brute(rows, 5)
 
 
+def test_cells_of_clustered_vectors_are_pruned(spark, caplog):
+    """Two hundred vectors in eight far clusters: exact, and most pairs of cells never meet."""
+    rng = random.Random(2)
+    centres = [[rng.choice([-1, 1]) * (4.0 if j == c else 0.0) for j in range(8)] for c in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centres[i % 8]]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", logger="lodestrata.llm.knn"):
+        got = top_k(df, F.col("vec_id") % 5 == 0)
+        assert {tuple(r) for r in got.collect()} == brute(rows, 5)
+    share = float(caplog.records[-1].getMessage().split(" pivots, ")[1].split(" ")[0])
+    assert share > 50
+
+
+def test_bounds_hold(spark):
+    """Cell and vector bounds against all scores of random cells."""
+    import numpy as np
+
+    from lodestrata.llm.knn import Cells
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        cells = Cells(rng.normal(0, 50, (6, 4)), 5)
+        q, v = rng.integers(-120, 120, (40, 4)), rng.integers(-120, 120, (80, 4))
+        (cq, dq), (cv, dv) = cells.near(q), cells.near(v)
+        for c in range(6):
+            cells.queries[c], cells.data[c] = (cq == c).sum(), (cv == c).sum()
+            cells.radius[c], cells.spread[c] = dq[cq == c].max(initial=0), dv[cv == c].max(initial=0)
+        cells.raise_floors()
+        least, most = cells.of_cells()
+        low, high = cells.of_vectors(v)
+        for i in range(40):
+            scores = v @ q[i]
+            assert (scores >= least[cq[i]][cv]).all() and (scores <= most[cq[i]][cv]).all()
+            assert (scores >= low[:, cq[i]]).all() and (scores <= high[:, cq[i]]).all()
+            assert np.sort(scores)[-6] >= cells.floor[cq[i]]
+            assert cells.allowed()[cq[i]][cv[np.argsort(-scores)[:5]]].all()
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in top_k(df, F.col("vec_id") % 5 == 0).collect()} == {(0, 1, 5, 131072), (5, 1, 0, 131072)}
