@@ -296,20 +296,25 @@ def lc_text(c: Column) -> Column:
 
 
 def number_form(c: Column) -> Column:
-    """Sortable text: + or -, an exponent letter and the digits, so that text order is number order.
+    """Sortable text: + or !, an exponent letter and the digits, so that text order is number order.
 
-    The exponent of a positive number counts from ``a``; for negative numbers
-    letters and digits are complemented.
+    The exponent of a positive number counts from ``a``, a negative exponent
+    from ``z`` down after a mark; for negative numbers exponent, mark and digits
+    are complemented.  Twelve decimals of the mantissa are kept, and exponents
+    of -26 to 25; numbers beyond, and those that are none, are null.
     """
-    x = c.cast("double")
-    size = F.floor(F.log10(F.abs(x)))
-    exponent = F.when(x == 0, F.lit(0)).otherwise(size).cast("int")
-    mantissa = F.when(x == 0, F.lit(0.0)).otherwise(F.abs(x) / F.pow(F.lit(10.0), exponent))
-    letter = F.char(F.lit(97) + F.when(exponent >= 0, exponent).otherwise(26 + exponent))
-    sign = F.when(x < 0, F.lit("!")).otherwise(F.lit("+"))
-    mark = F.when(exponent >= 0, F.lit("")).otherwise(F.lit("-"))
-    digits = F.regexp_replace(F.format_string("%.12f", mantissa), r"\.?0+$", "")
-    return F.concat(sign, mark, letter, F.lit("E"), digits)
+    x = c.try_cast("double")
+    size = F.abs(x)
+    rough = F.floor(F.log10(F.when(size > 0, size))).cast("int")
+    scaled = F.round(size / F.pow(F.lit(10.0), rough), 12)
+    exponent = F.when(x == 0, F.lit(0)).when(scaled >= 10, rough + 1).when(scaled < 1, rough - 1).otherwise(rough)
+    mantissa = F.when(x == 0, F.lit(0.0)).otherwise(F.round(size / F.pow(F.lit(10.0), exponent), 12))
+    digits = F.format_string("%.12f", mantissa)
+    up = F.char(F.lit(97) + F.when(exponent >= 0, exponent).otherwise(26 + exponent))
+    down = F.char(F.lit(122) - F.when(exponent >= 0, exponent).otherwise(26 + exponent))
+    positive = F.concat(F.lit("+"), F.when(exponent >= 0, F.lit("")).otherwise(F.lit("-")), up, F.lit("E"), F.regexp_replace(digits, r"\.?0+$", ""))
+    negative = F.concat(F.lit("!"), F.when(exponent >= 0, F.lit("")).otherwise(F.lit("~")), down, F.lit("E"), F.translate(digits, "0123456789", "9876543210"))
+    return F.when(exponent.between(-26, 25), F.when(x < 0, negative).otherwise(positive))
 
 
 def date_form(c: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import materialize
+from lodestrata.operators.joins import paired, skew_join
+from lodestrata.runtime import materialize, ship
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -32,15 +37,15 @@ def chain(edges: DataFrame, starts: DataFrame, hops: list[tuple[str, str]]) -> D
     return out.distinct()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(id, depth): nodes within ``max_depth`` hops along src -> dst.
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    """(id, depth): nodes within ``max_depth`` hops along src -> dst, or all that are reached.
 
     Only the frontier meets the edges in each round; rounds are written to the
     shared folder, and the loop ends with an empty frontier.
     """
     seen = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         reached = frontier.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("id")).distinct()
         frontier = materialize(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
         if frontier.isEmpty():
@@ -49,8 +54,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    return bfs(edges, seeds, max_rounds).select("id")
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """All nodes that the seeds reach, themselves included."""
+    return bfs(edges, seeds, None).select("id")
 
 
 def shortest_path_costs(edges: DataFrame, seed: object, max_rounds: int = 10_000) -> DataFrame:
@@ -90,24 +96,33 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, damping: float = 0
     return ranks
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 200) -> DataFrame:
+def personalized_pagerank(
+    edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-4, max_rounds: int = 10_000, local_edges: int = 6_000_000
+) -> DataFrame:
     """(id, score): synchronous forward push over (src, dst, weight).
 
     Every node whose residual exceeds ``epsilon * max(outdegree, 1)`` keeps
     ``alpha`` of it and passes the rest on by weight; nodes without edges keep
-    the rest as residual.  Only active nodes meet the edges in a round.
+    ``alpha`` of what reaches them.  A graph of at most ``local_edges`` edges is
+    pushed by one task in arrays; in a larger one only active nodes meet the
+    edges in a round.  The push ends when no node is active, or raises.
     """
+    if edges.count() <= local_edges:
+        return _local_push(edges, seeds, alpha, epsilon, max_rounds)
     total = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count(F.lit(1)).alias("degree"))
     parts = materialize(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("part")), "ppr-edges")
     degree = materialize(total.select(F.col("src").alias("id"), "degree"), "ppr-degree")
-    state = seeds.select("id", (F.col("weight") / F.sum("weight").over(_all())).alias("r"), F.lit(0.0).alias("p"))
+    whole = seeds.agg(F.sum("weight").alias("whole"))  # one row
+    state = seeds.crossJoin(F.broadcast(whole)).groupBy("id").agg(F.sum(F.col("weight") / F.col("whole")).alias("r")).withColumn("p", F.lit(0.0))
     state = materialize(state, "ppr")
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         known = state.join(degree, "id", "left")
         hot = (F.col("r") > epsilon * F.greatest(F.coalesce("degree", F.lit(0)), F.lit(1))) & F.col("degree").isNotNull()
         active = known.where(hot).select("id", "r")
         if active.isEmpty():
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"push not done after {max_rounds} rounds")
         sent = active.join(parts.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.sum((1 - alpha) * F.col("r") * F.col("part")).alias("got"))
         kept = known.select("id", F.when(hot, F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(hot, F.lit(0.0)).otherwise(F.col("r")).alias("r"))
         state = kept.join(sent, "id", "full").select("id", (F.coalesce("r", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("r"), F.coalesce("p", F.lit(0.0)).alias("p"))
@@ -116,13 +131,62 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.1
     return state.join(degree, "id", "left").select("id", F.when(F.col("degree").isNull(), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("score"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # seeds are a short list
-
-
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def push_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, residual: np.ndarray, alpha: float, epsilon: float, max_rounds: int) -> np.ndarray:
+    """Scores by node number of a synchronous forward push; ``residual`` is the seeds' share."""
+    n = len(residual)
+    order = np.argsort(src, kind="stable")
+    src, dst, weight = src[order], dst[order], weight[order]
+    degree, out = np.bincount(src, minlength=n), np.bincount(src, weights=weight, minlength=n)
+    first = np.concatenate([[0], np.cumsum(degree)])
+    part = weight / np.where(out[src] == 0, 1, out[src])
+    score, limit = np.zeros(n), epsilon * np.maximum(degree, 1)
+    for turn in range(max_rounds + 1):
+        active = np.flatnonzero((residual > limit) & (degree > 0))
+        if len(active) == 0:
+            break
+        if turn == max_rounds:
+            raise RuntimeError(f"push not done after {max_rounds} rounds")
+        held, times = residual[active], degree[active]
+        score[active] += alpha * held
+        residual[active] = 0
+        if times.sum() * 4 > len(src):  # most edges are active: no need to gather them
+            sent = np.zeros(n)
+            sent[active] = (1 - alpha) * held
+            residual = residual + np.bincount(dst, weights=sent[src] * part, minlength=n)
+        else:
+            at = np.repeat(first[active] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            np.add.at(residual, dst[at], np.repeat((1 - alpha) * held, times) * part[at])
+    ends = degree == 0
+    score[ends] += alpha * residual[ends]
+    return np.where((score > 0) | (residual > 0), score, np.nan)
+
+
+def _local_push(edges: DataFrame, seeds: DataFrame, alpha: float, epsilon: float, max_rounds: int) -> DataFrame:
+    """The push in one task; its rows are edges, and seeds as edges without a source."""
+    kind = edges.schema["src"].dataType
+    rows = edges.select(F.col("src"), F.col("dst"), F.col("weight").cast("double").alias("weight"))
+    rows = rows.unionByName(seeds.select(F.lit(None).cast(kind).alias("src"), F.col("id").cast(kind).alias("dst"), F.col("weight").cast("double").alias("weight")))
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
+        if table is None or table.num_rows == 0:
+            return
+        ids = pa.concat_arrays([*table.column("src").chunks, *table.column("dst").chunks]).drop_null().unique()
+        number = lambda column: np.asarray(pa.compute.index_in(column.combine_chunks(), value_set=ids).fill_null(-1)).astype(np.int64)
+        src, dst, weight = number(table.column("src")), number(table.column("dst")), np.asarray(table.column("weight").combine_chunks())
+        given = src < 0
+        residual = np.bincount(dst[given], weights=weight[given], minlength=len(ids))
+        score = push_arrays(src[~given], dst[~given], weight[~given], residual / max(residual.sum(), 1e-300), alpha, epsilon, max_rounds)
+        met = np.flatnonzero(~np.isnan(score))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(met)), pa.array(score[met])], names=["id", "score"])
+
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    ship(edges.sparkSession)
+    return rows.coalesce(1).mapInArrow(run, StructType([StructField("id", kind), StructField("score", DoubleType())]))
+
+
+def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(id, component): least id of each undirected component, by hooking and contraction."""
     live = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     live = materialize(live, "comp")
@@ -137,7 +201,10 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         moved = live.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ua", "a").alias("x"), F.coalesce("ub", "b").alias("y"))
         live = materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "comp")
         step = parent.select(F.col("node").alias("component"), "up")
-        roots = materialize(roots.join(step, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "comp")
+        # A large component's least node is a hot key.
+        roots = materialize(skew_join(roots, step, "component", ["id"], how="left").select("id", F.coalesce("up", "component").alias("component")), "comp")
+    else:
+        raise RuntimeError(f"components not done after {max_rounds} rounds")
     return roots
 
 
@@ -193,8 +260,7 @@ def structural_knn(edges: DataFrame, k: int) -> DataFrame:
 
     both = materialize(undirected(edges), "sknn")
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-    shared = both.select(F.col("dst").alias("m"), F.col("src").alias("u")).join(both.select(F.col("dst").alias("m"), F.col("src").alias("v")), "m").where("u <> v")
-    counted = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = paired(both).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.join(degree.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v")
     scored = counted.select("u", "v", (F.col("n") / F.sqrt(F.col("du").cast("double") * F.col("dv"))).alias("score"))
     order = Window.partitionBy("u").orderBy(F.col("score").desc(), "v")

@@ -23,11 +23,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str])
 
 
 def read_csv_nodes(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(nodes, errors): columns id and label, every other column a text property; rows of another width are errors."""
-    raw = spark.read.text(path)
-    head = raw.first()["value"]
-    names = head.split(delimiter)
-    cells = raw.where((F.col("value") != head) & (F.trim("value") != "")).select("value", F.split("value", f"\\Q{delimiter}\\E", -1).alias("c"))
+    """(nodes, errors): columns id and label, every other column a text property; rows of another width are errors.
+
+    The first line of each file names its columns, and is alone no data.
+    """
+    names = spark.read.text(path).first()["value"].split(delimiter)
+    # The CSV reader passes over the first line of each file; with a separator that no text holds, lines stay whole.
+    lines = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("escape", "\x02").csv(path)
+    cells = lines.where(F.trim("value") != "").select("value", F.split("value", f"\\Q{delimiter}\\E", -1).alias("c"))
     fits = F.size("c") == len(names)
     rows = cells.where(fits)
     others = [n for n in names if n not in ("id", "label")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.runtime import materialize
@@ -52,6 +52,22 @@ def zrank(entries: DataFrame, scope: str | None = None) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_range").withColumn("rank", inside + F.col("_before")).drop("_range", "_before")
 
 
+def running_totals(df: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """``df`` with rank (from 1) and running, the sum of a column up to each row, over all rows in an order.
+
+    As with ranks, ranges are summed each for itself and the ranges before give the offsets.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "running")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))  # one row per partition
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    joined = ranged.join(F.broadcast(offsets), "_range")
+    rank = F.row_number().over(inside) + F.col("_n")
+    running = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_v")
+    return joined.withColumn("rank", rank).withColumn("running", running).drop("_range", "_n", "_v")
+
+
 def zrank_of(entries: DataFrame, member: str) -> DataFrame:
     """Rank from 0 of one member: a count of the entries before it, without sorting."""
     own = F.broadcast(entries.where(F.col("member") == member).select(F.col("score").alias("s"), F.col("member").alias("m")))  # one row

@@ -61,23 +61,29 @@ def private_exports(sources: DataFrame, supports: DataFrame) -> DataFrame:
     return derived(supports.join(both, "source").select("claim").distinct(), "private_source_reaches_export_candidate", "claim", 0.95)
 
 
-def support_closure(edges: DataFrame, max_hops: int = 32, decay: float = 0.9) -> DataFrame:
-    """(src, dst, hops, confidence): best simple support path of each length of two and more.
+def support_closure(edges: DataFrame, decay: float = 0.9) -> DataFrame:
+    """(src, dst, hops, confidence): the best support path of each length of two and more.
 
-    Each round extends the last round's paths by one edge, and keeps for each
-    pair and path the nodes seen, so that no node repeats.
+    Each round extends the last round's paths by one edge that leads to a node
+    they have not seen.  Of the paths with the same ends and length only the
+    most confident goes on (the one of least nodes in order among equals), so a
+    round holds one path for each pair of ends.  Rounds end when no path grows.
     """
     step = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("confidence").alias("_c"))
-    paths = edges.select("src", "dst", F.col("confidence").cast("double").alias("confidence"), F.array("src", "dst").alias("seen"))
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "seen")).alias("b")
+    paths = edges.where("src <> dst").select("src", "dst", F.col("confidence").cast("double").alias("confidence"), F.array("src", "dst").alias("seen"))
     out: DataFrame | None = None
-    for hops in range(2, max_hops + 1):
+    hops = 1
+    while True:
+        hops += 1
         longer = paths.join(step, F.col("dst") == F.col("_s")).where(~F.array_contains("seen", F.col("_d")))
-        paths = longer.select("src", F.col("_d").alias("dst"), (F.col("confidence") * F.col("_c") * decay).alias("confidence"), F.concat("seen", F.array("_d")).alias("seen"))
+        longer = longer.select("src", F.col("_d").alias("dst"), (F.col("confidence") * F.col("_c") * decay).alias("confidence"), F.concat("seen", F.array("_d")).alias("seen"))
+        paths = longer.groupBy("src", "dst").agg(best).select("src", "dst", (-F.col("b.c")).alias("confidence"), F.col("b.seen").alias("seen"))
         paths = materialize(paths, "closure")
         if paths.isEmpty():
             break
-        best = paths.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).select("src", "dst", F.lit(hops).alias("hops"), "confidence")
-        out = best if out is None else out.unionByName(best)
+        part = paths.select("src", "dst", F.lit(hops).alias("hops"), "confidence")
+        out = part if out is None else out.unionByName(part)
     if out is None:
         return paths.where("false").select("src", "dst", F.lit(0).alias("hops"), "confidence")
     return out

@@ -77,7 +77,7 @@ def excerpts(spark, sf_dir):
 
 @R.query("text_code_terms", "SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS terms FROM part")
 def code_terms(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.code_terms(F.lower("p_name")).alias("terms"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.code_terms(F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("terms"))
 
 
 def points(spark, sf_dir):
@@ -118,16 +118,35 @@ def signs(spark, sf_dir):
     return points(spark, sf_dir).select("id", vector.hamming(vector.sign_bits(F.col("vector"), len(q)), vector.sign_bits(vector.literal(q), len(q))).alias("h"))
 
 
-@R.query("vector_maxsim", """
-WITH d AS (SELECT label AS doc, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 300), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id BETWEEN 400 AND 403)
-SELECT doc, round(sum(best), 6) AS score FROM (SELECT doc, qid, max(list_inner_product(q.e, d.e)) AS best FROM d, q GROUP BY 1, 2) GROUP BY doc
-""")
-def maxsim(spark, sf_dir):
+_MULTI = "v AS (SELECT vec_id // 8 AS doc, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def _late(product: str) -> str:
+    """SQL of the five documents of eight vectors with the most late interaction, for every hundredth document as query."""
+    return f"""WITH {_MULTI}, b AS (SELECT q.doc AS query_id, d.doc AS id, q.e AS qe, max({product}) AS best FROM v q JOIN v d ON q.doc % 100 = 0 GROUP BY 1, 2, 3),
+s AS (SELECT query_id, id, sum(best) AS score FROM b GROUP BY 1, 2)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+
+
+def _multi(spark, sf_dir):
     p = points(spark, sf_dir)
-    multi = p.where("id < 300").groupBy(F.col("label").alias("doc")).agg(F.collect_list("vector").alias("d"))
-    asked = [list(r["vector"]) for r in p.where("id between 400 and 403").collect()]
-    query = F.array(*[vector.literal(v) for v in asked])
-    return multi.select("doc", F.round(vector.maxsim(query, F.col("d")), 6).alias("score"))
+    return p.groupBy(F.floor(F.col("id") / 8).alias("id")).agg(F.collect_list("vector").alias("vectors"))
+
+
+def _late_query(spark, sf_dir, binary: bool):
+    docs = _multi(spark, sf_dir)
+    found = vector.maxsim_rank(docs, docs.where("id % 100 = 0"), 5, binary)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@R.query("vector_maxsim", _late("list_inner_product(q.e, d.e)"))
+def maxsim(spark, sf_dir):
+    return _late_query(spark, sf_dir, False)
+
+
+@R.query("vector_binary_maxsim", _late("list_inner_product(list_transform(q.e, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END), list_transform(d.e, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END)) / len(q.e)"))
+def binary_maxsim(spark, sf_dir):
+    return _late_query(spark, sf_dir, True)
 
 
 @R.query("vector_hybrid", f"""
@@ -141,13 +160,11 @@ def hybrid(spark, sf_dir):
     return vector.hybrid(vector.knn(p, _query_vector(spark, sf_dir), 20), g, 10).select("id", F.round("score", 6).alias("score"))
 
 
-@R.query("vector_hash_embedding", """
-WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)
-SELECT id, len(w) > 0 AS any FROM w
-""")
+@R.query("vector_hash_embedding")
 def hash_embedding(spark, sf_dir):
+    """Hashes of words are no SQL; a test holds the vectors against plain counts."""
     v = vector.hash_embedding(text.words_of(F.col("text")), 16)
-    return docs(spark, sf_dir).where("text is not null").select("id", (F.abs(vector.dot(v, v) - 1) < 1e-6).alias("any"))
+    return docs(spark, sf_dir).select("id", F.transform(v, lambda x: F.round(x, 9)).alias("vector"))
 
 
 _LISTS = f"""WITH {_bm25_sql(['worthless', 'trash'])},
@@ -199,7 +216,7 @@ def eleven_stages(spark, sf_dir):
     rows = o.select(
         F.col("doc_id").alias("id"), ((F.col("n_chars") % 89) / 89.0).alias("rrf_score"), ((F.col("n_chars") % 71) / 71.0).alias("learned"), F.lit(1.1).alias("weight"),
         F.when(F.col("doc_id") % 6 == 0, "contested").otherwise("accepted").alias("status"), F.concat(F.lit("s"), (F.col("doc_id") % 40).cast("string")).alias("slug"),
-        F.substring("text", 1, 40).alias("title"), (F.col("doc_id") % 9 == 0).alias("is_code"), F.lit(False).alias("code_boost"),
+        F.split("text", "\n")[0].alias("title"), (F.col("doc_id") % 9 == 0).alias("is_code"), F.lit(False).alias("code_boost"),
     )
     return fusion.epistemic_filter(rows, 25, query="the of").select("id", F.round("score", 6).alias("score"))
 
@@ -216,7 +233,7 @@ def budget(spark, sf_dir):
 def mmr(spark, sf_dir):
     from lodestrata.operators.rules import elites
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", ((F.col("n_chars") % 101) / 101.0).alias("score"), (F.col("n_chars") / 4).cast("long").alias("tokens"), F.slice(text.words_of(F.substring("text", 1, 400)), 1, 40).alias("terms"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", ((F.col("n_chars") % 101) / 101.0).alias("score"), (F.col("n_chars") / 4).cast("long").alias("tokens"), text.words_of(F.col("text")).alias("terms"))
     return fusion.mmr_fill(elites(d, "source", "score", 20).drop("rank"), "source", 2000)
 
 
@@ -290,7 +307,7 @@ _P = "p_name AS s, p_partkey AS id FROM part"
 
 def _scalar(name: str, expression, sql: str, source: str = "part") -> None:
     """A query (id, out) of one expression over part names, page URLs or page markup."""
-    tables = {"part": ("part", "p_partkey", "p_name"), "url": ("pages", "page_id", "url"), "html": ("pages", "page_id", "html"), "doc": ("documents", "doc_id", "text"), "num": ("orders", "o_orderkey", "o_totalprice")}
+    tables = {"part": ("part", "p_partkey", "p_name"), "url": ("pages", "page_id", "url"), "html": ("pages", "page_id", "html"), "doc": ("documents", "doc_id", "text"), "num": ("orders", "o_orderkey", "o_totalprice"), "signed": ("customer", "c_custkey", "c_acctbal")}
     frame, key, column = tables[source]
 
     def run(spark, sf_dir):
@@ -316,10 +333,10 @@ _scalar("split_last", lambda c: S.last(S.split(c, "/")), "string_split(s, '/')[-
 _scalar("split_first", lambda c: S.first(S.split(c, "/")), "string_split(s, '/')[1]", "url")
 _scalar("nth", lambda c: S.join(S.nth(S.split(c, "/"), 2, 1), "+"), "array_to_string(list_filter(string_split(s, '/'), lambda x, i: i % 2 = 1), '+')", "url")
 _scalar("slice", lambda c: S.slice_text(c, 2, -3), "s[3:len(s) - 3]", "url")
-_scalar("unique", lambda c: F.size(S.unique(S.split(c, " "))), "len(list_distinct(string_split(s, ' ')))::INT", "doc")
+_scalar("unique", lambda c: F.array_sort(S.unique(S.split(c, " "))), "list_sort(list_distinct(string_split(s, ' ')))", "doc")
 _scalar("replace", lambda c: S.replace(c, [("http://", ""), ("https://", ""), (".", "·")]), "replace(replace(replace(s, 'http://', ''), 'https://', ''), '.', '·')", "url")
 _scalar("safe_name", S.safe_name, "regexp_replace(regexp_replace(s, '[<>:\"/\\\\|?*#^\\[\\]]', '', 'g'), '[. ]+$', '')", "url")
-_scalar("blockquote", lambda c: F.length(S.blockquote(c)), "(len(s) + 2 * len(string_split(s, chr(10))))::INT", "doc")
+_scalar("blockquote", S.blockquote, "'> ' || replace(s, chr(10), chr(10) || '> ')", "doc")
 _scalar("callout", lambda c: S.callout(c, "note", "T"), "'> [!note] T' || chr(10) || '> ' || s")
 _scalar("link", lambda c: S.link(c, F.lit("x")), "'[x](' || s || ')'", "url")
 _scalar("image", lambda c: S.image(c, F.lit("x")), "'![x](' || s || ')'", "url")
@@ -327,13 +344,13 @@ _scalar("wikilink", lambda c: S.wikilink(c, F.lit("a")), "'[[' || s || '|a]]'")
 _scalar("list", lambda c: S.bullets(S.split(c, " "), "numbered"), "array_to_string(list_transform(string_split(s, ' '), lambda x, i: i || '. ' || x), chr(10))")
 _scalar("footnote", lambda c: S.footnotes(S.split(c, " ")), "array_to_string(list_transform(string_split(s, ' '), lambda x, i: '[^' || i || ']: ' || x), chr(10) || chr(10))")
 _scalar("template", lambda c: S.template(S.split(c, " "), "<", ">"), "array_to_string(list_transform(string_split(s, ' '), lambda x: '<' || x || '>'), '')")
-_scalar("merge", lambda c: F.size(S.merge(S.split(c, " "), ["a", "b"])), "(len(string_split(s, ' ')) + 2)::INT")
+_scalar("merge", lambda c: S.merge(S.split(c, " "), ["a", "b"]), "list_concat(string_split(s, ' '), ['a', 'b'])")
 _scalar("map", lambda c: S.join(S.map_items(S.split(c, " "), 'x => "(" + x + ")"'), ""), "array_to_string(list_transform(string_split(s, ' '), lambda x: '(' || x || ')'), '')")
 _scalar("calc", lambda c: F.round(S.calc(S.calc(c, "*", 2), "+", 1), 4), "round(s * 2 + 1, 4)", "num")
 _scalar("round", lambda c: S.round_half_up(F.floor(c), -2), "round(floor(s)::DECIMAL(18,0), -2)::BIGINT", "num")
 _scalar("number_format", lambda c: S.number_format(F.floor(c), 0), "format('{:,}', floor(s)::BIGINT)", "num")
 _scalar("duration", lambda c: S.duration_text(F.floor(c) % 86400), "printf('%02d:%02d:%02d', (floor(s)::BIGINT % 86400) // 3600, (floor(s)::BIGINT % 86400) % 3600 // 60, floor(s)::BIGINT % 60)", "num")
-_scalar("decode_uri", lambda c: S.decode_uri(F.replace(c, F.lit("/"), F.lit("%2F"))), "s", "url")
+_scalar("decode_uri", lambda c: S.decode_uri(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))), "s", "doc")
 _scalar("unescape", lambda c: S.unescape(F.replace(c, F.lit(" "), F.lit('\\"'))), "replace(s, ' ', '\"')")
 _scalar("strip_tags", S.strip_tags, "regexp_replace(s, '<[/]?[A-Za-z!][^>]*>', '', 'g')", "html")
 _scalar("remove_tags", lambda c: S.remove_tags(c, ["b", "p"]), "regexp_replace(s, '</?(?:b|p)\\b[^>]*>', '', 'gi')", "html")
@@ -342,11 +359,15 @@ _scalar("replace_tags", lambda c: S.replace_tags(c, "b", "strong"), "regexp_repl
 _scalar("strip_attr", lambda c: S.strip_attr(c), "regexp_replace(s, '\\s+[A-Za-z_:][-\\w:.]*\\s*=\\s*(?:\"[^\"]*\"|''[^'']*'')', '', 'g')", "html")
 _scalar("remove_attr", lambda c: S.remove_attr(c, ["class", "href"]), "regexp_replace(s, '\\s+(?:class|href)\\s*=\\s*(?:\"[^\"]*\"|''[^'']*'')', '', 'g')", "html")
 _scalar("strip_md", lambda c: S.strip_md(F.concat(F.lit("# *"), c, F.lit("* [x](y)"))), "s || ' x'")
-_scalar("markdown", lambda c: F.length(S.markdown(c)) > 0, "len(s) > 0", "html")
+_scalar("markdown", lambda c: S.markdown(F.concat(F.lit("<h1>"), c, F.lit("</h1><p><b>bold</b> and <a href=\"/x\">"), c, F.lit("</a></p>"))), "'# ' || s || chr(10) || chr(10) || '**bold** and [' || s || '](/x)'")
 _scalar("lc_text", S.lc_text, "translate(lower(s), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')", "doc")
 _scalar("ip_form", lambda c: S.ip_form(F.concat(F.lit("10.2."), (F.length(c) % 256).cast("string"), F.lit(".7"))), "'010.002.' || lpad((len(s) % 256)::VARCHAR, 3, '0') || '.007'")
 _scalar("date_form", lambda c: S.date_form(F.concat(F.lit("2024-02-"), F.lpad((F.length(c) % 28 + 1).cast("string"), 2, "0"), F.lit(" 12:01:47"))), "'2024-02-' || lpad((len(s) % 28 + 1)::VARCHAR, 2, '0') || 'T12:01:47.000Z'")
-_scalar("number_form", lambda c: S.number_form(F.lit(111)), "'+cE1.11'")
+_POWER = "floor(log10(abs(s::DOUBLE)))::INT"
+_MANTISSA = f"printf('%.12f', abs(s::DOUBLE) / pow(10, {_POWER}))"
+_scalar("number_form", S.number_form, f"""CASE WHEN s = 0 THEN '+aE0'
+  WHEN s > 0 THEN '+' || CASE WHEN {_POWER} >= 0 THEN chr(97 + {_POWER}) ELSE '-' || chr(123 + {_POWER}) END || 'E' || regexp_replace({_MANTISSA}, '[.]?0+$', '')
+  ELSE '!' || CASE WHEN {_POWER} >= 0 THEN chr(122 - {_POWER}) ELSE '~' || chr(96 - {_POWER}) END || 'E' || translate({_MANTISSA}, '0123456789', '9876543210') END""", "signed")
 _scalar("mask", lambda c: S.mask(c, 4), "repeat('*', greatest(len(s) - 4, 0)) || right(s, 4)", "url")
 _scalar("content_hash", S.content_hash, "'sha256:' || sha256(s)", "url")
 _scalar("canonical_body_hash", S.canonical_body_hash, "sha256(regexp_replace(regexp_replace(lower(s), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '^ | $', '', 'g'))", "doc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graph, mutations
-from lodestrata.queries.graphs import _CO, _suppliers
+from lodestrata.queries.graphs import _cooc, _parts
 from lodestrata.queries.registry import Registry
 from lodestrata.runtime import table
 
@@ -48,7 +48,7 @@ def match_or_create(spark, sf_dir):
 
 @R.query("write_detach_delete", "SELECT 'PLACED_BY|o' || o_orderkey || '|c' || o_custkey AS id, o_custkey % 5 = 0 AS tombstone FROM orders")
 def detach_delete(spark, sf_dir):
-    from lodestrata.queries.graphs import star
+    from lodestrata.queries.graphs import _cooc, _parts
 
     nodes, edges = star(spark, sf_dir)
     gone = F.array_contains("labels", "Customer") & (F.substring("id", 2, 20).cast("long") % 5 == 0)
@@ -89,30 +89,32 @@ def packed(spark, sf_dir):
 
 @R.query("graph_louvain")
 def louvain(spark, sf_dir):
-    e = _suppliers(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    e = _parts(spark, sf_dir).withColumn("weight", F.lit(1.0))
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     return graph.louvain_round(e, ids)
 
 
 @R.query("graph_betweenness")
 def between(spark, sf_dir):
-    e = graph.undirected(_suppliers(spark, sf_dir).where("(src + dst) % 5 = 0"))
-    ids = e.select(F.col("src").alias("id")).distinct().where("id % 7 = 0")
-    return graph.betweenness(e, ids).select("id", F.round("score", 6).alias("score"))
+    """Shortest paths from all nations to every supplier, customer and region; tests hold the operator against brute force."""
+    e = graph.undirected(_cooc(spark, sf_dir))
+    return graph.betweenness(e, e.select(F.col("src").alias("id")).where("id LIKE 'n%'").distinct()).select("id", F.round("score", 6).alias("score"))
 
 
 @R.query("graph_bridges")
 def bridge(spark, sf_dir):
-    e = _suppliers(spark, sf_dir).where("(src * 7 + dst) % 40 = 0")
+    """Orders and their parts: an order of one part hangs on a bridge; tests hold the operator against brute force."""
+    lines = table(spark, sf_dir, "lineitem")
+    e = lines.select((F.col("l_orderkey") + 100_000_000_000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return graph.bridges(e, e.select(F.col("src").alias("id")).distinct())
 
 
-@R.query("graph_cfl_reachability", f"""
-WITH RECURSIVE {_CO}, a AS (SELECT x, y FROM co WHERE (x + y) % 9 = 0), r(src, dst) AS (SELECT x, y FROM a UNION SELECT src, y FROM r JOIN a ON x = dst)
-SELECT src, dst FROM r
-""")
+_E = "e AS (SELECT 's' || s_suppkey AS x, 'n' || s_nationkey AS y FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+@R.query("graph_cfl_reachability", f"WITH RECURSIVE {_E}, r(src, dst) AS (SELECT x, y FROM e UNION SELECT src, y FROM r JOIN e ON x = dst) SELECT src, dst FROM r")
 def cfl(spark, sf_dir):
-    e = _suppliers(spark, sf_dir).where("(src + dst) % 9 = 0").withColumn("label", F.lit("a"))
+    e = _cooc(spark, sf_dir).withColumn("label", F.lit("a"))
     return graph.cfl_reachability(e, [("S", "a")], [("S", "S", "a")]).where("label = 'S'").select("src", "dst")
 
 
