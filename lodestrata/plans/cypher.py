@@ -233,20 +233,16 @@ def _project(df: DataFrame, items: list[Item]) -> DataFrame:
     return out.select(*[_q(i.name) for i in items])
 
 
-def run(text: str, nodes: DataFrame, edges: DataFrame, params: dict[str, object]) -> DataFrame:
-    """Compile a statement; clauses outside the subset raise ValueError."""
-    p = _Parser(text, params)
-    if not p.word("MATCH"):
-        raise ValueError("a statement begins with MATCH")
-    live_nodes, live_edges = visible(nodes), visible(edges)
+def match(p: _Parser, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The bindings of a MATCH clause whose keyword has been read, with its WHERE."""
     first = p.node()
-    df = _candidates(live_nodes, first)
+    df = _candidates(nodes, first)
     last = first
     while p.peek() in ("-", "<-"):
         hop = p.hop()
         right = p.node()
-        pairs = _hops(live_edges, hop, df.select(_q(f"{last.name}.id").alias("id")).distinct())
-        step = pairs.join(_candidates(live_nodes, right), F.col("dst") == _q(f"{right.name}.id"))
+        pairs = _hops(edges, hop, df.select(_q(f"{last.name}.id").alias("id")).distinct())
+        step = pairs.join(_candidates(nodes, right), F.col("dst") == _q(f"{right.name}.id"))
         df = df.join(step, _q(f"{last.name}.id") == F.col("src")).drop("src", "dst")
         last = right
     if p.word("WHERE"):
@@ -259,6 +255,15 @@ def run(text: str, nodes: DataFrame, edges: DataFrame, params: dict[str, object]
             if not p.word("AND"):
                 break
         df = df.where(reduce(Column.__and__, conditions))
+    return df
+
+
+def run(text: str, nodes: DataFrame, edges: DataFrame, params: dict[str, object]) -> DataFrame:
+    """Compile a statement that reads; clauses outside the subset raise ValueError."""
+    p = _Parser(text, params)
+    if not p.word("MATCH"):
+        raise ValueError("a statement begins with MATCH")
+    df = match(p, visible(nodes), visible(edges))
     renamed: dict[str, str] = {}
     if p.word("WITH"):
         items = p.items()

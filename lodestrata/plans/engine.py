@@ -60,6 +60,24 @@ class Engine:
 
         return run(text, self.nodes, self.edges, dict(params or {}))
 
+    def execute(self, text: str, params: Mapping[str, object] | None = None) -> None:
+        """Run a statement of the pattern language that writes; nodes and edges are then those after it."""
+        from lodestrata.plans.cypher_writes import execute
+
+        self.nodes, self.edges = execute(text, self.nodes, self.edges, dict(params or {}))
+
+    def information_schema(self) -> dict[str, DataFrame]:
+        """Tables and columns of the engine's relations."""
+        from lodestrata.operators import catalog
+
+        return {"tables": catalog.tables(self.spark, self.relations, self.lineage), "columns": catalog.columns(self.spark, self.relations)}
+
+    def lineage_of(self) -> DataFrame:
+        """(target, source) of derived relations."""
+        from lodestrata.operators import catalog
+
+        return catalog.lineage(self.spark, self.lineage)
+
     def create_table_as(self, name: str, text: str, path: str | None = None) -> DataFrame:
         """Materialise a query under a name, with its statement as lineage."""
         from lodestrata.runtime import materialize
