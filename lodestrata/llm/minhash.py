@@ -46,7 +46,7 @@ class NearDuplicateParams:
     chunks: int = 20
     chunk_symbols: int = 5
     errors: int = 1
-    tile: int = 256
+    tile: int = 512
     broadcast_rows: int = 100_000
     #: Close pairs that a tile emits for each of its rows; a tile of more is verified in place, on whole sets.
     dense: int = 8
@@ -278,12 +278,12 @@ def _close_in_tile(group: pa.Table, p: NearDuplicateParams, once: bool) -> tuple
     return tuple(np.concatenate(part) if part else none for part in (out_a, out_b, out_d))
 
 
-def _dealt(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame, nodes: DataFrame, visiting: bool) -> DataFrame:
     """Members of keys dealt to tiles of bounded size: (key, inner, t1, t2, node, root, signature, n_shingles, half, same).
 
     A key's members of its largest component stay in one tile each; its other
-    members visit each of those tiles, and the pairs of tiles that they make
-    up themselves.
+    members visit each of those tiles, if they are among the rows
+    (``visiting``), and the pairs of tiles that they make up themselves.
     """
     own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("tiles")).otherwise(F.col("outer_tiles"))).cast("int")
     place = F.struct
@@ -310,7 +310,7 @@ def _dealt(members: DataFrame, nodes: DataFrame) -> DataFrame:
         "root",
         "signature",
         "n_shingles",
-        F.inline(F.when(F.col("root") == F.col("major"), stay).otherwise(F.concat(visits, among))),
+        F.inline(F.when(F.col("root") == F.col("major"), stay).otherwise(F.concat(visits, among) if visiting else among)),
     )
 
 
@@ -533,14 +533,14 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
             whole = sets.covering(visits.select("node").union(stays.select("node")))
             links.append(materialize(_outlier_links(visits, stays, nodes, whole, p), "nd-outlier-links"))
-            dealt = _dealt(outer, nodes)
+            dealt = _dealt(outer, nodes, visiting=False)
             found = materialize(_cross_pairs(dealt, p, None), "nd-cross")
             tiles = materialize(found.where("a is null").select(*_TILE), "nd-dense")
             if not tiles.isEmpty():
                 links.append(materialize(_dense_links(tiles, dealt, whole, p), "nd-dense-links"))
             confirm(found.where("a is not null").select("a", "b"), "nd-sparse")
             break
-        share = confirm(_cross_pairs(_dealt(open_members, nodes), p, nearest).select("a", "b"), "nd-cross")
+        share = confirm(_cross_pairs(_dealt(open_members, nodes, visiting=True), p, nearest).select("a", "b"), "nd-cross")
         nearest = nearest if share >= 0.05 else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))
