@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from lodestrata.runtime import materialize
+from lodestrata.runtime import materialize, ship
 
 #: Words that the BM25 tokenizer drops.
 STOP_WORDS = (
@@ -32,46 +35,95 @@ def bm25_tokens(column: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
 
 
-_WORD = r"[\p{L}\p{N}_]"
+_TOKENS = re.compile(r"\w+")
 
 
-def _is(term: str):
-    return lambda word: word == term
+def _counted(text: str | None) -> tuple[Counter[str], int]:
+    """BM25 tokens with their counts, stop words among them, and the number without those."""
+    found = _TOKENS.findall((text or "").lower())
+    counts = Counter(found)
+    return counts, len(found) - sum(counts[w] for w in STOP_WORDS)
 
 
-def token_count(column: Column) -> Column:
-    """How many BM25 tokens a text has, in one pass of a pattern that passes over stop words."""
-    stop = "|".join(STOP_WORDS)
-    return F.regexp_count(F.lower(F.coalesce(column, F.lit(""))), F.lit(f"(?<!{_WORD})(?!(?:{stop})(?!{_WORD})){_WORD}+"))
-
-
-def term_count(column: Column, term: str) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(column, F.lit(""))), F.lit(f"(?<!{_WORD})\\Q{term}\\E(?!{_WORD})"))
+def _query_terms(query: str) -> list[str]:
+    return [w for w in dict.fromkeys(_TOKENS.findall(query.lower())) if w not in STOP_WORDS]
 
 
 def bm25(docs: DataFrame, query: str, id_column: str = "id", text_column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a query word, by Okapi BM25 over the whole corpus.
 
-    Texts are read once: their lengths and the query's term counts are written
-    as a narrow table, from which come both the corpus statistics (one row)
-    and the scores, without a shuffle.
+    Texts are read once, in Arrow batches: their lengths and the query's term
+    counts are written as a narrow table, from which come both the corpus
+    statistics (one row) and the scores, without a shuffle.  For many searches
+    of one corpus see ``Bm25Index``.
     """
-    terms = [w for w in dict.fromkeys(re.findall(r"\w+", query.lower())) if w not in STOP_WORDS]
-    text = F.col(text_column)
-    counts = [term_count(text, t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    per_doc = materialize(docs.select(F.col(id_column).alias("id"), token_count(text).alias("dl"), *counts), "bm25")
+    terms = _query_terms(query)
+    named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            counted = [_counted(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([n for _, n in counted], pa.int32()), *(pa.array([c[t] for c, _ in counted], pa.int32()) for t in terms)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "dl", *(f"tf{i}" for i in range(len(terms)))])
+
+    schema = StructType([named.schema["id"], *(StructField(n, IntegerType()) for n in ["dl", *(f"tf{i}" for i in range(len(terms)))])])
+    per_doc = materialize(named.mapInArrow(run, schema), "bm25")
     stats = per_doc.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
     )
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        norm = 1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * norm)
+        score = score + _okapi(F.col(f"tf{i}"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avgdl"), k1, b)
     any_term = reduce(Column.__or__, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(False))
     return per_doc.where(any_term).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
+def _okapi(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: float, b: float) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(1.0))))
+
+
+class Bm25Index:
+    """Postings (term, id, tf, dl) in order of term, and one row of statistics; a search reads the files of its terms only."""
+
+    def __init__(self, docs: DataFrame, id_column: str = "id", text_column: str = "text"):
+        named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+        ship(docs.sparkSession)
+
+        def run(batches):
+            for batch in batches:
+                at, terms, tf, dl = [], [], [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    counts, n = _counted(text)
+                    for w in STOP_WORDS:
+                        del counts[w]
+                    # A document without tokens is kept as one posting of the empty term, for the statistics.
+                    own = counts or {"": 0}
+                    at += [row] * len(own)
+                    terms += own.keys()
+                    tf += own.values()
+                    dl += [n] * len(own)
+                columns = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf", "dl"])
+
+        schema = StructType([StructField("term", StringType()), named.schema["id"], StructField("tf", IntegerType()), StructField("dl", IntegerType())])
+        postings = named.mapInArrow(run, schema)
+        # A frequent term spreads over several ranges, as the id takes part in the order.
+        self.postings = materialize(postings.repartitionByRange("term", "id").sortWithinPartitions("term"), "bm25-postings")
+        lengths = self.postings.groupBy("id").agg(F.first("dl").alias("dl"))
+        self.stats = materialize(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "bm25-stats")
+
+    def search(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(id, score) of documents with a query word; ids name documents."""
+        terms = _query_terms(query)
+        found = self.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
+        frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row for each query word
+        joined = found.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(self.stats))
+        score = _okapi(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), k1, b)
+        return joined.groupBy("id").agg(F.sum(score).alias("score"))
+
+
 def phrase_search(docs: DataFrame, phrase: str, boosts: dict[str, float], id_column: str = "id") -> DataFrame:
     """(id, score): sum of the boosts of the fields that contain the phrase, whatever its case."""
     score: Column = F.lit(0.0)

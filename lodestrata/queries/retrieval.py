@@ -33,6 +33,13 @@ def bm25(spark, sf_dir):
     return text.bm25(docs(spark, sf_dir), "worthless trash the pathetic").orderBy(F.col("score").desc(), "id").limit(25).select("id", F.round("score", 6).alias("score"))
 
 
+@R.query("text_bm25_index", f"WITH {_bm25_sql(['worthless', 'trash', 'pathetic'])} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 25")
+def bm25_index(spark, sf_dir):
+    """The same search over postings that are written once."""
+    found = text.Bm25Index(docs(spark, sf_dir)).search("worthless trash the pathetic")
+    return found.orderBy(F.col("score").desc(), "id").limit(25).select("id", F.round("score", 6).alias("score"))
+
+
 @R.query("text_tokens", f"SELECT doc_id AS id, len({_TOK}) AS n FROM documents")
 def tokens(spark, sf_dir):
     return docs(spark, sf_dir).select("id", F.size(text.bm25_tokens(F.col("text"))).alias("n"))
