@@ -296,25 +296,28 @@ def lc_text(c: Column) -> Column:
 
 
 def number_form(c: Column) -> Column:
-    """Sortable text: + or !, an exponent letter and the digits, so that text order is number order.
+    """Sortable text of a decimal number: a sign, a letter of its exponent, E and its digits, so that text order is number order.
 
-    The exponent of a positive number counts from ``a``, a negative exponent
-    from ``z`` down after a mark; for negative numbers exponent, mark and digits
-    are complemented.  Twelve decimals of the mantissa are kept, and exponents
-    of -26 to 25; numbers beyond, and those that are none, are null.
+    Fixed format: + with a to z for exponents 0 to 25 and A to Z for -26 to -1;
+    ! with Z to A for 0 to 25 and a to z for -1 to -26, and ten less the digits;
+    zero is +AE0.  Digits are taken from the text, so none is lost.  Text of the
+    format stays as it is; numbers beyond, and what is none, are null.
     """
-    x = c.try_cast("double")
-    size = F.abs(x)
-    rough = F.floor(F.log10(F.when(size > 0, size))).cast("int")
-    scaled = F.round(size / F.pow(F.lit(10.0), rough), 12)
-    exponent = F.when(x == 0, F.lit(0)).when(scaled >= 10, rough + 1).when(scaled < 1, rough - 1).otherwise(rough)
-    mantissa = F.when(x == 0, F.lit(0.0)).otherwise(F.round(size / F.pow(F.lit(10.0), exponent), 12))
-    digits = F.format_string("%.12f", mantissa)
-    up = F.char(F.lit(97) + F.when(exponent >= 0, exponent).otherwise(26 + exponent))
-    down = F.char(F.lit(122) - F.when(exponent >= 0, exponent).otherwise(26 + exponent))
-    positive = F.concat(F.lit("+"), F.when(exponent >= 0, F.lit("")).otherwise(F.lit("-")), up, F.lit("E"), F.regexp_replace(digits, r"\.?0+$", ""))
-    negative = F.concat(F.lit("!"), F.when(exponent >= 0, F.lit("")).otherwise(F.lit("~")), down, F.lit("E"), F.translate(digits, "0123456789", "9876543210"))
-    return F.when(exponent.between(-26, 25), F.when(x < 0, negative).otherwise(positive))
+    raw = F.trim(c.cast("string"))
+    pattern = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+    part = lambda group: F.regexp_extract(raw, pattern, group)
+    whole, digits = part(2), F.concat(part(2), part(3))
+    led = F.regexp_replace(digits, "^0+", "")
+    kept = F.regexp_replace(led, "0+$", "")
+    exponent = F.length(whole) - 1 - (F.length(digits) - F.length(led)) + F.coalesce(part(4).try_cast("int"), F.lit(0))
+    head, tail = F.substring(kept, F.lit(1), F.length(kept) - 1), F.substring(kept, F.length(kept), F.lit(1))
+    turned = F.concat(F.translate(head, "0123456789", "9876543210"), (F.lit(10) - tail.try_cast("int")).cast("string"))
+    point = lambda d: F.concat(F.substring(d, 1, 1), F.when(F.length(d) > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), F.length(d)))).otherwise(F.lit("")))
+    up = F.concat(F.lit("+"), F.char(F.when(exponent >= 0, 97 + exponent).otherwise(91 + exponent)), F.lit("E"), point(kept))
+    down = F.concat(F.lit("!"), F.char(F.when(exponent >= 0, 90 - exponent).otherwise(96 - exponent)), F.lit("E"), point(turned))
+    number = F.rlike(raw, F.lit(pattern)) & (F.length(digits) > 0)
+    formed = F.when(number & (kept == ""), F.lit("+AE0")).when(number & exponent.between(-26, 25), F.when(part(1) == "-", down).otherwise(up))
+    return F.when(F.rlike(raw, F.lit("^[!+][A-Za-z][Ee][0-9].?[0-9]*$")), raw).otherwise(formed)
 
 
 def date_form(c: Column) -> Column:

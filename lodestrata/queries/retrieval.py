@@ -370,11 +370,12 @@ _scalar("markdown", lambda c: S.markdown(F.concat(F.lit("<h1>"), c, F.lit("</h1>
 _scalar("lc_text", S.lc_text, "translate(lower(s), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')", "doc")
 _scalar("ip_form", lambda c: S.ip_form(F.concat(F.lit("10.2."), (F.length(c) % 256).cast("string"), F.lit(".7"))), "'010.002.' || lpad((len(s) % 256)::VARCHAR, 3, '0') || '.007'")
 _scalar("date_form", lambda c: S.date_form(F.concat(F.lit("2024-02-"), F.lpad((F.length(c) % 28 + 1).cast("string"), 2, "0"), F.lit(" 12:01:47"))), "'2024-02-' || lpad((len(s) % 28 + 1)::VARCHAR, 2, '0') || 'T12:01:47.000Z'")
-_POWER = "floor(log10(abs(s::DOUBLE)))::INT"
-_MANTISSA = f"printf('%.12f', abs(s::DOUBLE) / pow(10, {_POWER}))"
-_scalar("number_form", S.number_form, f"""CASE WHEN s = 0 THEN '+aE0'
-  WHEN s > 0 THEN '+' || CASE WHEN {_POWER} >= 0 THEN chr(97 + {_POWER}) ELSE '-' || chr(123 + {_POWER}) END || 'E' || regexp_replace({_MANTISSA}, '[.]?0+$', '')
-  ELSE '!' || CASE WHEN {_POWER} >= 0 THEN chr(122 - {_POWER}) ELSE '~' || chr(96 - {_POWER}) END || 'E' || translate({_MANTISSA}, '0123456789', '9876543210') END""", "signed")
+_DIGITS = "ltrim(replace(printf('%.2f', abs(s::DOUBLE)), '.', ''), '0')"
+_KEPT = f"rtrim({_DIGITS}, '0')"
+_TURNED = f"(translate({_KEPT}[1:-2], '0123456789', '9876543210') || (10 - {_KEPT}[-1]::INT))"
+_scalar("number_form", S.number_form, f"""CASE WHEN s = 0 THEN '+AE0' WHEN s > 0
+  THEN '+' || CASE WHEN len({_DIGITS}) >= 3 THEN chr(94 + len({_DIGITS})::INT) ELSE chr(88 + len({_DIGITS})::INT) END || 'E' || {_KEPT}[1] || CASE WHEN len({_KEPT}) > 1 THEN '.' || {_KEPT}[2:] ELSE '' END
+  ELSE '!' || CASE WHEN len({_DIGITS}) >= 3 THEN chr(93 - len({_DIGITS})::INT) ELSE chr(99 - len({_DIGITS})::INT) END || 'E' || {_TURNED}[1] || CASE WHEN len({_TURNED}) > 1 THEN '.' || {_TURNED}[2:] ELSE '' END END""", "signed")
 _scalar("mask", lambda c: S.mask(c, 4), "repeat('*', greatest(len(s) - 4, 0)) || right(s, 4)", "url")
 _scalar("content_hash", S.content_hash, "'sha256:' || sha256(s)", "url")
 _scalar("canonical_body_hash", S.canonical_body_hash, "sha256(regexp_replace(regexp_replace(lower(s), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '^ | $', '', 'g'))", "doc")
