@@ -1,4 +1,4 @@
-"""Joins that bear hot keys, and hash filters of bounded size that go to every executor."""
+"""Hash filters of bounded size that go to every executor."""
 
 from __future__ import annotations
 
@@ -6,30 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import materialize
+from lodestrata.operators.joins import skew_join
 
-
-def skew_join(
-    left: DataFrame, right: DataFrame, key: str, spread: list[str], broadcast_rows: int = 50_000, parts: int = 4096, how: str = "inner"
-) -> DataFrame:
-    """Inner (or left) join on ``key`` of a written, large ``left`` with a ``right`` that may be small.
-
-    A right side of at most ``broadcast_rows`` rows is broadcast.  Otherwise
-    keys that hold more than a share of 1 / ``parts`` of the left rows, of
-    which there are fewer than ``parts``, are dealt to as many salted keys as
-    keep each below that share; ``spread`` names left columns that deal them.
-    """
-    if right.count() <= broadcast_rows:
-        return left.join(F.broadcast(right), key, how)
-    limit = max(left.count() // parts, 1000)
-    hot = left.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("_salts"))
-    hot = materialize(hot, "hot-keys")
-    if hot.isEmpty():
-        return left.join(right, key, how)
-    salts = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
-    copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
+__all__ = ["HashFilter", "skew_join"]
 
 
 class HashFilter:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import textscan
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.joins import skew_join
+from lodestrata.llm.joins import HashFilter, skew_join
 from lodestrata.runtime import materialize, ship, small_batches
 
 
@@ -128,8 +128,9 @@ def _profile(docs: DataFrame, p: NearDuplicateParams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(textscan.released(run), schema)
 
 
-def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
-    """(key, node): every chunk with every choice of ``errors`` symbols blanked."""
+def _keys(nodes: DataFrame, p: NearDuplicateParams, known: HashFilter | None = None) -> DataFrame:
+    """(key, node): every chunk with every choice of ``errors`` symbols blanked; with a filter, only keys that may be in it."""
+    sent = nodes.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         keep = p.kept_symbols
@@ -144,9 +145,12 @@ def _keys(nodes: DataFrame, p: NearDuplicateParams) -> DataFrame:
                 for place in chosen:
                     packed = textscan.mix(packed * np.uint64(0x9E3779B97F4A7C15) + symbols[:, :, place])
                 out[:, :, k] = packed << np.uint64(8) | slot  # the last byte tells the kind of key
-            width = out.shape[1] * out.shape[2]
-            node = np.repeat(np.asarray(batch.column(0)), width)
-            yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
+            node = np.repeat(np.asarray(batch.column(0)), out.shape[1] * out.shape[2])
+            flat = out.reshape(-1)
+            if sent.value is not None:
+                kept = sent.value.has(flat)
+                flat, node = flat[kept], node[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node)], names=["key", "node"])
 
     return nodes.select("node", "signature").mapInArrow(textscan.released(run), "key long, node long")
 
@@ -461,11 +465,13 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
     )
     nodes = materialize(classes, "nd-nodes")  # written once, so the node numbers stay as they are
     # Many small tasks keep the hash maps of the first aggregation small.
-    keys = _keys(nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), p)
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
+    spread = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = _keys(spread, p).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = materialize(shared.where("n > 1"), "nd-keys")
+    # Of the keys of more than two nodes all members are needed; a filter of bounded size leaves out the others before the join.
     crowded = shared.where("n > 2").select("key", "lo")
-    members = materialize(keys.join(_small(crowded, p.broadcast_rows), "key"), "nd-members")
+    again = _keys(spread, p, HashFilter.of(crowded, "key"))
+    members = materialize(again.join(_small(crowded, p.broadcast_rows), "key"), "nd-members")
     pairs = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(
         members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     )
