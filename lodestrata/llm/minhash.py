@@ -155,6 +155,26 @@ def _keys(nodes: DataFrame, p: NearDuplicateParams, known: HashFilter | None = N
     return nodes.select("node", "signature").mapInArrow(textscan.released(run), "key long, node long")
 
 
+def _kind_of_key() -> Column:
+    """The kind that a key's last byte tells; of keys with the same members the first kind counts, as it names their pairs."""
+    return F.col("key").bitwiseAND(F.lit(255)).alias("kind")
+
+
+def _among_outliers(outer: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """Of memberships (key, node, root) those of keys with outliers of different components; keys with the same ones are compared once."""
+    sets = outer.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("root").alias("r1"),
+        F.max("root").alias("r2"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
+    )
+    chosen = sets.where("r1 <> r2").groupBy("x1", "x2", "n").agg(F.min(F.struct(_kind_of_key(), "key")).alias("k"))
+    chosen = materialize(chosen.select("k.key", F.ceil(F.col("n") / p.tile).alias("outer_tiles")), "nd-among")
+    rows = outer.select("key", "node", "root").join(_small(chosen, p.broadcast_rows), "key")
+    return rows.withColumn("major", F.lit(None).cast("long")).withColumn("tiles", F.lit(1).cast("long"))
+
+
 def _small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast a narrow frame only if its counted rows stay under the limit."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -289,7 +309,8 @@ def _dealt(members: DataFrame, nodes: DataFrame, visiting: bool) -> DataFrame:
     members visit each of those tiles, if they are among the rows
     (``visiting``), and the pairs of tiles that they make up themselves.
     """
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), F.col("tiles")).otherwise(F.col("outer_tiles"))).cast("int")
+    inside = F.coalesce(F.col("root") == F.col("major"), F.lit(False))
+    own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("tiles")).otherwise(F.col("outer_tiles"))).cast("int")
     place = F.struct
     zero, one = F.lit(0), F.lit(1)
     stay = F.array(place(zero.alias("inner"), F.col("own").alias("t1"), zero.alias("t2"), zero.alias("half"), zero.alias("same")))
@@ -314,7 +335,7 @@ def _dealt(members: DataFrame, nodes: DataFrame, visiting: bool) -> DataFrame:
         "root",
         "signature",
         "n_shingles",
-        F.inline(F.when(F.col("root") == F.col("major"), stay).otherwise(F.concat(visits, among) if visiting else among)),
+        F.inline(F.when(inside, stay).otherwise(F.concat(visits, among) if visiting else among)),
     )
 
 
@@ -515,7 +536,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         mixed = (
             mixed.where("roots > 1")
             .groupBy("x1", "x2", "n")
-            .agg(F.min(F.struct("key", "major", "largest")).alias("k"))
+            .agg(F.min(F.struct(_kind_of_key(), "key", "major", "largest")).alias("k"))
             .select(
                 "k.key",
                 "k.major",
@@ -539,7 +560,7 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
             whole = sets.covering(visits.select("node").union(stays.select("node")))
             links.append(materialize(_outlier_links(visits, stays, nodes, whole, p), "nd-outlier-links"))
-            dealt = _dealt(outer, nodes, visiting=False)
+            dealt = _dealt(_among_outliers(outer, p), nodes, visiting=False)
             found = materialize(_cross_pairs(dealt, p, None), "nd-cross")
             tiles = materialize(found.where("a is null").select(*_TILE), "nd-dense")
             if not tiles.isEmpty():
