@@ -21,7 +21,7 @@ HEADLINE = (
 def workloads(spark) -> dict:
     """Late interaction over 96 documents of 32 x 128 for 12 queries, and ranks from one seed on random graphs of degree 4."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
     from pyspark.sql import functions as F
 
     from lodestrata.operators.graph import personalized_pagerank
@@ -32,8 +32,10 @@ def workloads(spark) -> dict:
     rng = np.random.default_rng(42)
 
     def multi(n: int):
-        rows = [(i, [[float(x) for x in v] for v in rng.normal(size=(32, 128))]) for i in range(n)]
-        return materialize(spark.createDataFrame(rows, "id long, vectors array<array<float>>"), "bench-multi")
+        flat = pa.array(rng.normal(size=n * 32 * 128).astype(np.float32))
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, n * 32 + 1, dtype=np.int32) * 128), flat)
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, dtype=np.int32) * 32), inner)
+        return materialize(spark.createDataFrame(pa.table({"id": pa.array(range(n)), "vectors": vectors})), "bench-multi")
 
     docs, asked = multi(96), multi(12)
     out = {
@@ -41,9 +43,8 @@ def workloads(spark) -> dict:
         "maxsim_binary_12x96x32x128": lambda: maxsim_rank(docs, asked, 10, binary=True),
     }
     for n in (50_000, 200_000, 1_000_000):
-        ends = rng.integers(0, n, (2, 4 * n))
-        edges = spark.createDataFrame(pd.DataFrame({"src": ends[0], "dst": ends[1], "weight": np.ones(4 * n)}))
-        edges = materialize(edges, "bench-graph")
+        end = lambda seed, n=n: F.floor(F.rand(seed) * n).cast("long")
+        edges = materialize(spark.range(4 * n).select(end(42).alias("src"), end(43).alias("dst"), F.lit(1.0).alias("weight")), "bench-graph")
         seed = spark.range(1).select(F.col("id"), F.lit(1.0).alias("weight"))
         out[f"ppr_{n // 1000}k_nodes"] = lambda edges=edges, seed=seed: personalized_pagerank(edges, seed, 0.15, 1e-4)
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
