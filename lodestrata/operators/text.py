@@ -167,6 +167,10 @@ def passages(docs: DataFrame, id_column: str = "id", text_column: str = "text",
     return lines.where((F.length(body) >= min_chars) & (F.size(words_of(F.col("line"))) >= min_words)).select("id", "passage", body.alias("body"))
 
 
+def _is(term: str):
+    return lambda word: word == term
+
+
 def passage_scores(found: DataFrame, query: str) -> DataFrame:
     """Passages scored by saturated term counts, coverage of the query and length."""
     terms = filter_tokens(query)

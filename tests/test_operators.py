@@ -1,6 +1,7 @@
 """Operators on small frames whose results are known."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,26 @@ def test_csv_and_jsonl_readers(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"id":"a"}\n{bad\n{"x":1}\n')
     good, bad = ingest.read_jsonl(spark, str(tmp_path / "e.jsonl"), "id string", ["id"])
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_passage_scores_count_each_term(spark):
+    body = "The idiot met another idiot. A moron too."
+    found = spark.createDataFrame([("d", 0, body), ("d", 1, "No such word in it."), ("e", 0, "Moron, moron and Moron")], "id string, passage int, body string")
+    got = {(r["id"], r["passage"]): r["score"] for r in text.passage_scores(found, "idiot moron").collect()}
+    assert got == pytest.approx({("d", 0): (2 / 3.2 + 1 / 2.2) / (1 + 8 / 240), ("e", 0): 3 / 4.2 / 2 / (1 + 4 / 240)})
+
+
+def test_excerpt_query_keeps_best_passages_of_each_document(spark):
+    from lodestrata.queries import QUERIES
+    from tests.conftest import SF
+
+    rows = QUERIES["text_excerpt"](spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    holding = set()
+    for name, body in texts.items():
+        for line in (body or "").split("\n"):
+            words = re.findall(r"[^\W_]+", line.lower())
+            if len(line.strip(" ")) >= 24 and len(words) >= 4 and {"stupid", "moron"} & set(words):
+                holding.add(name)
+    assert {r["id"] for r in rows if r["rank"] == 1} == {r["id"] for r in rows} == holding
+    assert all(r["rank"] == 1 or r["chars"] <= 400 for r in rows)
