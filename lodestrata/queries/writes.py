@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graph, mutations
-from lodestrata.queries.graphs import _cooc, _parts
+from lodestrata.queries.graphs import _cooc, _parts, star
 from lodestrata.queries.registry import Registry
 from lodestrata.runtime import table
 
@@ -48,8 +48,6 @@ def match_or_create(spark, sf_dir):
 
 @R.query("write_detach_delete", "SELECT 'PLACED_BY|o' || o_orderkey || '|c' || o_custkey AS id, o_custkey % 5 = 0 AS tombstone FROM orders")
 def detach_delete(spark, sf_dir):
-    from lodestrata.queries.graphs import _cooc, _parts
-
     nodes, edges = star(spark, sf_dir)
     gone = F.array_contains("labels", "Customer") & (F.substring("id", 2, 20).cast("long") % 5 == 0)
     return mutations.delete_nodes(nodes.where(F.array_contains("labels", "Customer")), edges.where("type = 'PLACED_BY'"), gone, detach=True)[1].select("id", "tombstone")

@@ -56,3 +56,12 @@ def test_bridges_and_betweenness(spark):
     both = graph.undirected(edges)
     got = {r["id"]: r["score"] for r in graph.betweenness(both, nodes).collect()}
     assert got[3] == pytest.approx(2 * 8) and got[4] == pytest.approx(2 * 9) and got.get(7, 0) == 0
+
+
+def test_detach_delete_query_marks_only_orders_of_deleted_customers(spark):
+    from lodestrata.queries import QUERIES
+    from tests.conftest import SF
+
+    got = {r["id"]: r["tombstone"] for r in QUERIES["write_detach_delete"](spark, SF).collect()}
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    assert got == {f"PLACED_BY|o{o}|c{c}": c % 5 == 0 for o, c in orders} and len(set(got.values())) == 2
