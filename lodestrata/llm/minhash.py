@@ -302,8 +302,15 @@ def _close_in_tile(group: pa.Table, p: NearDuplicateParams, once: bool) -> tuple
     return tuple(np.concatenate(part) if part else none for part in (out_a, out_b, out_d))
 
 
-def _dealt(members: DataFrame, nodes: DataFrame, visiting: bool) -> DataFrame:
-    """Members of keys dealt to tiles of bounded size: (key, inner, t1, t2, node, root, signature, n_shingles, half, same).
+def _with_signatures(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Memberships with their node's signature and size; a node's memberships, one for each key at most, meet them as one list."""
+    other = [c for c in rows.columns if c != "node"]
+    lists = rows.groupBy("node").agg(F.collect_list(F.struct(*other)).alias("_rows"))
+    return lists.join(nodes.select("node", "signature", "n_shingles"), "node").select("node", "signature", "n_shingles", F.inline("_rows"))
+
+
+def _dealt(members: DataFrame, visiting: bool) -> DataFrame:
+    """Members of keys dealt to tiles of bounded size: (key, inner, t1, t2, node, root, half, same) and, if given, signature and n_shingles.
 
     A key's members of its largest component stay in one tile each; its other
     members visit each of those tiles, if they are among the rows
@@ -328,13 +335,11 @@ def _dealt(members: DataFrame, nodes: DataFrame, visiting: bool) -> DataFrame:
             (F.col("own") == t).cast("int").alias("same"),
         ),
     )
-    members = members.join(nodes.select("node", "signature", "n_shingles"), "node")
     return members.withColumn("own", own).select(
         "key",
         "node",
         "root",
-        "signature",
-        "n_shingles",
+        *(c for c in ("signature", "n_shingles") if c in members.columns),
         F.inline(F.when(inside, stay).otherwise(F.concat(visits, among) if visiting else among)),
     )
 
@@ -376,7 +381,7 @@ def _in_tiles(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(*_TILE).sortWithinPartitions(*_TILE)
 
 
-def _dense_links(tiles: DataFrame, dealt: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataFrame:
+def _dense_links(tiles: DataFrame, dealt: DataFrame, nodes: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataFrame:
     """(a, b): true links of the named tiles, found on whole sets in place; of each tile only as many as join its rows."""
 
     def run(batches):
@@ -404,10 +409,17 @@ def _dense_links(tiles: DataFrame, dealt: DataFrame, sets: DataFrame, p: NearDup
                     b.append(max(node[x[k]], node[y[k]]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = dealt.join(_small(tiles, p.broadcast_rows), list(_TILE)).join(sets, "node")
+    rows = dealt.join(_small(tiles, p.broadcast_rows), list(_TILE))
+    rows = rows.join(_whole(rows, nodes, sets), "node")
     return _in_tiles(rows).mapInArrow(textscan.released(run), "a long, b long")
 
 
+def _whole(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, signature, n_shingles, items) of the nodes among the rows, put together once for each node."""
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
+    return wanted.select("node", "signature", "n_shingles").join(sets, "node")
+
+
 def _groups(batches, keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Whole groups of rows that are sorted by the keys."""
     held: pa.Table | None = None
@@ -463,7 +475,7 @@ def _outlier_links(visits: DataFrame, stays: DataFrame, nodes: DataFrame, sets:
         return rows.select("root", "t1", "t2", "node", F.lit(visitor).alias("visitor"))
 
     rows = dealt(stays, 0, "n1", "n2").unionByName(dealt(visits, 1, "n2", "n1"))
-    rows = rows.join(nodes.select("node", "signature", "n_shingles"), "node").join(sets, "node")
+    rows = rows.join(_whole(visits.union(stays), nodes, sets), "node")
     rows = rows.select("root", "t1", "t2", "visitor", "node", "n_shingles", "signature", "items")
     return rows.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2").mapInArrow(textscan.released(run), "a long, b long")
 
@@ -560,14 +572,14 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
             stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
             whole = sets.covering(visits.select("node").union(stays.select("node")))
             links.append(materialize(_outlier_links(visits, stays, nodes, whole, p), "nd-outlier-links"))
-            dealt = _dealt(_among_outliers(outer, p), nodes, visiting=False)
-            found = materialize(_cross_pairs(dealt, p, None), "nd-cross")
+            among = _among_outliers(outer, p)
+            found = materialize(_cross_pairs(_dealt(_with_signatures(among, nodes), visiting=False), p, None), "nd-cross")
             tiles = materialize(found.where("a is null").select(*_TILE), "nd-dense")
             if not tiles.isEmpty():
-                links.append(materialize(_dense_links(tiles, dealt, whole, p), "nd-dense-links"))
+                links.append(materialize(_dense_links(tiles, _dealt(among, visiting=False), nodes, whole, p), "nd-dense-links"))
             confirm(found.where("a is not null").select("a", "b"), "nd-sparse")
             break
-        share = confirm(_cross_pairs(_dealt(open_members, nodes, visiting=True), p, nearest).select("a", "b"), "nd-cross")
+        share = confirm(_cross_pairs(_dealt(_with_signatures(open_members, nodes), visiting=True), p, nearest).select("a", "b"), "nd-cross")
         nearest = nearest if share >= 0.05 else None
     if links:
         known = connected_components(reduce(DataFrame.union, links))

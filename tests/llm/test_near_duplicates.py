@@ -117,6 +117,35 @@ def test_near_misses_leave_tiles_as_links_only(spark, monkeypatch):
     assert sizes[600] < 6 * sizes[150], sizes  # four times the texts, sixteen times the pairs
 
 
+def test_signatures_meet_each_node_once(spark):
+    """A node of many keys meets its signature in one joined row, and whole sets are put together for the nodes that are asked for."""
+    from lodestrata.llm import minhash
+
+    nodes = spark.createDataFrame([(n, bytes([n] * 200), 9) for n in range(5)], "node long, signature binary, n_shingles long")
+    members = spark.createDataFrame([(key, n, 0, 0, 1, 1) for n in range(3) for key in range(100)], "key long, node long, root long, major long, tiles long, outer_tiles long")
+    out = minhash._with_signatures(members, nodes)
+    joins = []
+
+    def visit(plan):
+        if plan.nodeName() in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin"):
+            joins.append(plan.metrics().apply("numOutputRows").value())
+        for k in range(plan.children().size()):
+            visit(plan.children().apply(k))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = out._jdf.queryExecution()
+        assert run.executedPlan().executeCollect() is not None
+        visit(run.executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joins == [3]
+    got = {(r["key"], r["node"]): (bytes(r["signature"]), r["n_shingles"]) for r in out.collect()}
+    assert got == {(key, n): (bytes([n] * 200), 9) for n in range(3) for key in range(100)}
+    sets = spark.createDataFrame([(n, bytes([n] * 8)) for n in range(5)], "node long, items binary")
+    assert sorted(r["node"] for r in minhash._whole(members, nodes, sets).collect()) == [0, 1, 2]
+
+
 def test_names_of_any_type(spark):
     text = " ".join(f"word{k}" for k in range(60))
     docs = spark.createDataFrame([("b", text), ("a", text + " end"), ("c", "other text of its own")], "doc_id string, text string")
