@@ -196,3 +196,28 @@ def test_sources_of_statements(spark):
     assert {"a", "b", "c"} <= set(catalog.sources_of(spark, "SELECT * FROM a JOIN b ON a.k = b.k UNION ALL SELECT * FROM c"))
     with pytest.raises(ValueError):
         matrix.matrix_vector(spark.range(1), spark.range(1), "none")
+
+
+@pytest.mark.parametrize("tile", [7, 2_000_000])
+def test_two_hops_in_tiles(spark, monkeypatch, tile):
+    """Triangles, nearest by shared neighbours and link candidates of a random graph with a hub, in one tile and in many; no join makes a row for a path."""
+    import itertools
+    import random
+
+    from lodestrata.operators import graph, hops, joins, retrieval
+
+    whole = hops.two_hops
+    monkeypatch.setattr(hops, "two_hops", lambda *args: whole(*args, tile=tile))
+    monkeypatch.setattr(joins, "paired", None)
+    rng = random.Random(5)
+    pairs = {(a, b) for a in range(18) for b in range(a + 1, 18) if rng.random() < 0.25} | {(0, b) for b in range(1, 18)}
+    near = {n: {b if a == n else a for a, b in pairs if n in (a, b)} for n in range(18)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    assert {tuple(r) for r in graph.triangles(edges).collect()} == {t for t in itertools.combinations(range(18), 3) if set(itertools.combinations(t, 2)) <= pairs}
+    expected = set()
+    for u in near:
+        scores = sorted((-len(near[u] & near[v]) / (len(near[u]) * len(near[v])) ** 0.5, v) for v in near if v != u and near[u] & near[v])
+        expected |= {(u, v, -s, i + 1) for i, (s, v) in enumerate(scores[:3])}
+    assert {tuple(r) for r in graph.structural_knn(edges, 3).collect()} == expected
+    links = {(a, b, len(near[a] & near[b])) for a, b in itertools.combinations(range(18), 2) if (a, b) not in pairs and len(near[a] & near[b]) >= 2}
+    assert {tuple(r) for r in retrieval.link_candidates(edges, 2).collect()} == links
