@@ -240,20 +240,60 @@ def triangles(edges: DataFrame) -> DataFrame:
     return hops.two_hops(o.select(F.col("u").alias("src"), F.col("v").alias("dst")), visit, f"a {name}, b {name}, c {name}")
 
 
-def k_truss(edges: DataFrame, k: int, max_rounds: int = 10_000) -> DataFrame:
-    """(x, y): edges that stay when every edge must lie in k - 2 triangles."""
-    live = materialize(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "truss")
+def k_truss(edges: DataFrame, k: int, max_rounds: int = 10_000, array_triangles: int = 6_000_000) -> DataFrame:
+    """(src, dst): edges that stay when every edge must lie in k - 2 triangles.
+
+    Triangles are found once.  Up to ``array_triangles`` are peeled by one task
+    in arrays; more by rounds of joins that drop the triangles of weak edges.
+    """
+    live = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    if k <= 2:
+        return live
+    found = materialize(triangles(live), "truss")
+    if found.count() <= array_triangles:
+        peeled = materialize(found.coalesce(1).mapInArrow(_peel(k, max_rounds), live.schema), "truss")
+        if not peeled.where("src is null").isEmpty():
+            raise RuntimeError(f"truss not done after {max_rounds} rounds")
+        return peeled
     for _ in range(max_rounds):
-        t = triangles(live)
-        sides = t.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(t.select("a", "c")).unionAll(t.select("b", "c"))
-        support = sides.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k - 2).select("src", "dst")
-        new = materialize(live.join(support, ["src", "dst"]), "truss")
-        if new.count() == live.count():
-            return new
-        live = new
+        sides = [found.select(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ("ab", "ac", "bc")]
+        support = materialize(sides[0].unionAll(sides[1]).unionAll(sides[2]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "truss")
+        weak = support.where(F.col("n") < k - 2)
+        if weak.isEmpty():
+            return support.select("src", "dst")
+        for x, y in ("ab", "ac", "bc"):
+            found = found.join(weak.select(F.col("src").alias(x), F.col("dst").alias(y)), [x, y], "left_anti")
+        found = materialize(found.select("a", "b", "c"), "truss")
     raise RuntimeError(f"truss not done after {max_rounds} rounds")
 
 
+def _peel(k: int, max_rounds: int):
+    """Edges that keep k - 2 triangles, from all triangles as one partition; a row of nulls if the rounds do not suffice."""
+
+    def run(batches):
+        given = [b for b in batches if b.num_rows]
+        if not given:
+            return
+        whole = pa.Table.from_batches(given)
+        nodes, corners = np.unique(np.concatenate([whole.column(x).to_numpy() for x in "abc"]), return_inverse=True)
+        a, b, c = corners.reshape(3, -1).astype(np.int64)
+        keys, sides = np.unique(np.concatenate([a * len(nodes) + b, a * len(nodes) + c, b * len(nodes) + c]), return_inverse=True)
+        sides = sides.reshape(3, -1)
+        for _ in range(max_rounds):
+            support = np.bincount(sides.reshape(-1), minlength=len(keys))
+            weak = (support > 0) & (support < k - 2)
+            if not weak.any():
+                kept = keys[support > 0]
+                ends = [pa.array(nodes[x]) for x in (kept // len(nodes), kept % len(nodes))]
+                break
+            sides = sides[:, ~weak[sides].any(axis=0)]
+        else:
+            ends = [pa.nulls(1, pa.array(nodes[:1]).type)] * 2
+        yield pa.RecordBatch.from_arrays(ends, names=["src", "dst"])
+
+    return run
+
+
 def walk_counts(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
     """(id, walks): number of walks of a length from the seeds, parallel edges counted."""
     out = seeds.select("id", F.lit(1).cast("decimal(38,0)").alias("walks"))

@@ -85,6 +85,18 @@ def test_k_truss_and_triangles(spark):
     assert {tuple(r) for r in graph.k_truss(edges, 4).collect()} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
 
 
+@pytest.mark.parametrize("array_triangles", [0, 6_000_000])
+def test_k_truss_finds_triangles_once(spark, monkeypatch, array_triangles):
+    """A strip that peels in many rounds beside a clique that stays: by joins and in arrays."""
+    whole, calls = graph.triangles, []
+    monkeypatch.setattr(graph, "triangles", lambda e: calls.append(1) or whole(e))
+    clique = [(a, b) for a in range(100, 105) for b in range(a + 1, 105)]
+    edges = spark.createDataFrame([(i, i + d) for i in range(12) for d in (1, 2)] + clique, "src long, dst long")
+    assert {tuple(r) for r in graph.k_truss(edges, 4, array_triangles=array_triangles).collect()} == set(clique)
+    assert len(calls) == 1
+    assert graph.k_truss(edges, 9, array_triangles=array_triangles).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "id long")
