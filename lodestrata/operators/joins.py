@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import running_totals
 from lodestrata.runtime import materialize
 
 
@@ -36,3 +37,18 @@ def paired(edges: DataFrame, tile: int = 512) -> DataFrame:
     left = ends.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("m", "t", "u")
     right = ends.select("m", F.pmod(F.xxhash64("u"), F.col("tiles")).cast("int").alias("t"), F.col("u").alias("v"))
     return left.join(right, ["m", "t"]).where("u <> v").select("m", "u", "v")
+
+
+def count_below(left: DataFrame, key: str, bound: Column, right: DataFrame, value: Column) -> DataFrame:
+    """(key, n): for each key the pairs of its rows with right rows whose value is less than the row's bound; keys without any are left out.
+
+    Values and bounds are sorted together by ranges and the values counted up to each bound, so no pair is made.
+    Nulls meet nothing; NaN counts as the greatest.
+    """
+    bounds = left.select(F.col(key).alias("k"), (bound.cast("double") + F.lit(0.0)).alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("c"))
+    values = right.select((value.cast("double") + F.lit(0.0)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    values = values.select(F.lit(None).cast(left.schema[key].dataType).alias("k"), "x", F.lit(1).alias("kind"), "c")
+    # A bound comes before the equal value, which is not less; the key deals bounds that repeat to several ranges.
+    both = bounds.unionByName(values).where("x is not null")
+    counted = running_totals(both, [F.col("x"), F.col("kind"), F.col("k")], "c").where("kind = 0")
+    return counted.groupBy(F.col("k").alias(key)).agg(F.sum("running").alias("n")).where("n > 0")

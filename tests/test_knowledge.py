@@ -163,6 +163,25 @@ def test_hash_embeddings(spark):
     assert all(abs(x - c / norm) < 1e-12 for x, c in zip(got[0]["v"], counts)) and got[1]["v"] == [0.0] * 8
 
 
+def test_unit_vectors_are_computed_once(spark):
+    """A vector that is computed from a row is computed once, not for each component."""
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def made(n):
+        calls.add(1)
+        return [3.0, 4.0] * n
+
+    slow = F.udf(made, ArrayType(DoubleType())).asNondeterministic()
+    got = [list(r["v"]) for r in spark.range(1, 3).select(vector.unit(slow(F.col("id"))).alias("v")).collect()]
+    norms = [5.0 * n**0.5 for n in (1, 2)]
+    assert got == [[x / n for x in [3.0, 4.0] * k] for k, n in zip((1, 2), norms)]
+    assert calls.value == 2
+    odd = spark.createDataFrame([(None,), ([],), ([0.0, 0.0],)], "v array<double>").select(vector.unit(F.col("v")).alias("v")).collect()
+    assert [r["v"] for r in odd] == [None, [], [0.0, 0.0]]
+
+
 def test_index_and_scan_agree(spark):
     docs = spark.createDataFrame([(1, "The cat sat. The CAT!"), (2, "dog_1 and cat"), (3, None), (4, ""), (5, "the of and")], "id long, text string")
     one = {r["id"]: round(r["score"], 9) for r in text.bm25(docs, "cat dog_1 the").collect()}
@@ -221,3 +240,18 @@ def test_two_hops_in_tiles(spark, monkeypatch, tile):
     assert {tuple(r) for r in graph.structural_knn(edges, 3).collect()} == expected
     links = {(a, b, len(near[a] & near[b])) for a, b in itertools.combinations(range(18), 2) if (a, b) not in pairs and len(near[a] & near[b]) >= 2}
     assert {tuple(r) for r in retrieval.link_candidates(edges, 2).collect()} == links
+
+
+def test_pairs_below_a_bound_are_counted(spark):
+    from lodestrata.operators.joins import count_below
+
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 2.0), (1, 9.0), (2, 1.0), (3, None), (4, nan), (None, 9.0), (5, -0.0), (6, -5.0)], "k long, b double")
+    right = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (0.0,), (None,), (nan,), (-1.0,)], "x double")
+    out = count_below(left, "k", F.col("b"), right, F.col("x"))
+    left.createOrReplaceTempView("bounds")
+    right.createOrReplaceTempView("vals")
+    expected = spark.sql("SELECT k, count(*) AS n FROM bounds JOIN vals ON x < b GROUP BY k").collect()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, expected), key=str)
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
