@@ -272,10 +272,7 @@ def recall_vs_exact(spark, sf_dir):
     p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = p.where("id % 100 = 0")
     dims = len(queries.where("id = 0").first()["vector"])
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    pairs = p.crossJoin(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))).where(F.size("vector") == F.size("q"))
-    pairs = pairs.select("query_id", "id", (1 - vector.cosine(F.col("vector"), F.col("q"))).alias("distance"))
-    exact = pairs.withColumn("nth", F.row_number().over(order)).where("nth <= 5").select("query_id", "id")
+    exact = vector.exact_knn_join(queries, p, 5).select("query_id", "id")
     found = vector.accelerated_knn_join(queries, p, 5, dims).select("query_id", "id", F.lit(1).alias("hit"))
     return exact.join(found, ["query_id", "id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 

@@ -209,6 +209,23 @@ def test_recall_is_measured(spark, monkeypatch):
     assert QUERIES["rel_recall_vs_exact"](spark, SF).first()["recall"] == pytest.approx(0.6)
 
 
+def test_nearest_are_found_without_rows_for_pairs(spark):
+    """Both searches agree, with odd vectors among the points, and no plan crosses queries with points."""
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(300, 8)).tolist()
+    rows = [*enumerate(v), (300, [0.0] * 8), (301, None), (302, [1.0]), (303, [None] * 8)]
+    p = spark.createDataFrame(rows, "id long, vector array<double>")
+    exact, quick = vector.exact_knn_join(p.where("id % 30 = 0"), p, 4), vector.accelerated_knn_join(p.where("id % 30 = 0"), p, 4, 8)
+    got = {(r["query_id"], r["id"]) for r in exact.collect()}
+    unit = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 300, 30):
+        assert {i for x, i in got if x == q} == set(np.argsort(-(unit @ unit[q]))[:4].tolist())
+    assert {(r["query_id"], r["id"]) for r in quick.collect()} == got
+    for found in (exact, quick):
+        assert not re.search("CartesianProduct|NestedLoop", found._jdf.queryExecution().toString())
+
+
 def test_csv_and_jsonl_readers(spark, tmp_path):
     (tmp_path / "n.csv").write_text("id,label,name\n1,City,Flint\n2,City\n")
     nodes, errors = ingest.read_csv_nodes(spark, str(tmp_path / "n.csv"))
