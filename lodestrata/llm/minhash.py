@@ -480,6 +480,35 @@ def _outlier_links(visits: DataFrame, stays: DataFrame, nodes: DataFrame, sets:
     return rows.repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2").mapInArrow(textscan.released(run), "a long, b long")
 
 
+def _mixed_keys(rooted: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """(key, major, n, tiles, outer_tiles) of the keys of several components; major is the one with most members there."""
+    # Keys with the same members are compared once.
+    by_root = rooted.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("here"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+    )
+    mixed = by_root.groupBy("key").agg(
+        F.count(F.lit(1)).alias("roots"),
+        F.sum("here").alias("n"),
+        F.max("here").alias("largest"),
+        F.max_by("root", "here").alias("major"),
+        F.bit_xor("x1").alias("x1"),
+        F.bit_xor("x2").alias("x2"),
+    )
+    mixed = (
+        mixed.where("roots > 1")
+        .groupBy("x1", "x2", "n")
+        .agg(F.min(F.struct(_kind_of_key(), "key", "major", "largest")).alias("k"))
+        .select(
+            "k.key",
+            "k.major",
+            "n",
+            F.ceil(F.col("k.largest") / p.tile).alias("tiles"),
+            F.ceil((F.col("n") - F.col("k.largest")) / p.tile).alias("outer_tiles"),
+        )
+    )
+    return materialize(mixed, "nd-mixed")
+
+
 def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): each document's set digest, and each distinct set's component.
 
@@ -522,52 +551,29 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
         return links[-1].count() / tested
 
     confirm(_close_pairs(pairs.distinct(), nodes, p), "nd-star")
-    known: DataFrame | None = None
     # Nearest partners first, while that joins many; then all close pairs that are left across components.
     nearest: int | None = 2
+    changed = True
     while True:
-        known = connected_components(reduce(DataFrame.union, links)) if links else None
-        rooted = members.select("key", "node")
-        if known is not None:
-            rooted = rooted.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            rooted = rooted.withColumn("root", F.col("node"))
-        rooted = materialize(rooted, "nd-roots")
-        # Keys with the same members are compared once.
-        by_root = rooted.groupBy("key", "root").agg(
-            F.count(F.lit(1)).alias("here"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
-        )
-        mixed = by_root.groupBy("key").agg(
-            F.count(F.lit(1)).alias("roots"),
-            F.sum("here").alias("n"),
-            F.max("here").alias("largest"),
-            F.max_by("root", "here").alias("major"),
-            F.bit_xor("x1").alias("x1"),
-            F.bit_xor("x2").alias("x2"),
-        )
-        mixed = (
-            mixed.where("roots > 1")
-            .groupBy("x1", "x2", "n")
-            .agg(F.min(F.struct(_kind_of_key(), "key", "major", "largest")).alias("k"))
-            .select(
-                "k.key",
-                "k.major",
-                "n",
-                F.ceil(F.col("k.largest") / p.tile).alias("tiles"),
-                F.ceil((F.col("n") - F.col("k.largest")) / p.tile).alias("outer_tiles"),
-            )
-        )
-        mixed = materialize(mixed, "nd-mixed")
-        if mixed.isEmpty():
-            break
-        open_members = rooted.join(_small(mixed, p.broadcast_rows), "key")
+        if changed:  # a round without links leaves components, and all that is made of them, as they are
+            rooted = members.select("key", "node")
+            if links:
+                known = connected_components(reduce(DataFrame.union, links))
+                rooted = rooted.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            else:
+                rooted = rooted.withColumn("root", F.col("node"))
+            rooted = materialize(rooted, "nd-roots")
+            mixed = _mixed_keys(rooted, p)
+            if mixed.isEmpty():
+                break
+            open_members = rooted.join(_small(mixed, p.broadcast_rows), "key")
+            # Several steps read these; a node has a row for each of its mixed keys, of at most one for each kind.
+            outer = materialize(open_members.where("root <> major"), "nd-outer")
         if nearest is not None:  # each node outside the largest component asks in its most crowded key
-            outer = open_members.where("root <> major")
             asked = materialize(outer.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("key")), "nd-asked")
             held = open_members.where("root = major").join(asked.select("key").distinct(), "key", "left_semi")
-            open_members = held.unionByName(outer.join(asked, ["node", "key"], "left_semi"))
+            asking = held.unionByName(outer.join(asked, ["node", "key"], "left_semi"))
         else:  # the rest: against the largest components by whole sets, and among each other by close pairs
-            outer = open_members.where("root <> major")
             visits = materialize(outer.select("node", F.col("major").alias("root")).distinct(), "nd-visits")
             stays = materialize(open_members.where("root = major").select("node", "root").distinct(), "nd-stays")
             whole = sets.covering(visits.select("node").union(stays.select("node")))
@@ -579,8 +585,9 @@ def near_duplicate_classes(docs: DataFrame, p: NearDuplicateParams = NearDuplica
                 links.append(materialize(_dense_links(tiles, _dealt(among, visiting=False), nodes, whole, p), "nd-dense-links"))
             confirm(found.where("a is not null").select("a", "b"), "nd-sparse")
             break
-        share = confirm(_cross_pairs(_dealt(_with_signatures(open_members, nodes), visiting=True), p, nearest).select("a", "b"), "nd-cross")
+        share = confirm(_cross_pairs(_dealt(_with_signatures(asking, nodes), visiting=True), p, nearest).select("a", "b"), "nd-cross")
         nearest = nearest if share >= 0.05 else None
+        changed = share > 0
     if links:
         known = connected_components(reduce(DataFrame.union, links))
         labelled = nodes.select("digest", "node", "min_doc").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))

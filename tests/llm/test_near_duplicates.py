@@ -146,6 +146,58 @@ def test_signatures_meet_each_node_once(spark):
     assert sorted(r["node"] for r in minhash._whole(members, nodes, sets).collect()) == [0, 1, 2]
 
 
+def outlier_joins(spark, after):
+    """Rows made by each run of the join that finds members outside of their key's largest component, and the last execution's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    ids = [runs.apply(k).executionId() for k in range(runs.size())]
+    made = []
+    for run in ids:
+        if run <= after:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            node, metrics = nodes.apply(k), nodes.apply(k).metrics()
+            if "Join" in node.name() and re.search(r"NOT \(root#\d+L? = major#", node.desc()):
+                rows = [values.get(metrics.apply(m).accumulatorId()) for m in range(metrics.size()) if metrics.apply(m).name() == "number of output rows"]
+                made += [int(r.get().replace(",", "")) for r in rows if r.isDefined()]
+    return [n for n in made if n], max(ids, default=-1)
+
+
+def test_outliers_are_joined_once_a_round(spark, monkeypatch):
+    """Rows of the join of members with their keys: one run for each change of the components, a row for a node and kind of key at most."""
+    written = []
+    plain = minhash.materialize
+
+    def named(df, name):
+        out = plain(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", named)
+    rows_of = {}
+    for g in (100, 400):
+        rng = random.Random(g)
+        rows = []
+        for i in range(g):
+            text = [f"w{k}" for k in range(100)]
+            for k in rng.sample(range(100), rng.choice([3, 4, 5])):
+                text[k] = f"x{i}_{k}"
+            rows.append((i, " ".join(text)))
+        written.clear()
+        after = outlier_joins(spark, -1)[1]
+        got = near_duplicates(documents(spark, rows), NearDuplicateParams(shingle=2)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 2, 80)
+        made = outlier_joins(spark, after)[0]
+        rounds = [n for name, n in written if name == "nd-roots"]
+        gains = [n for name, n in written if name in ("nd-star-links", "nd-cross-links") and n]
+        assert made and len(made) <= len(rounds) <= 1 + len(gains), (made, written)
+        assert max(made) <= 100 * g
+        rows_of[g] = sum(made)
+    assert rows_of[400] <= 8 * rows_of[100], rows_of  # four times the texts, sixteen times the pairs
+
+
 def test_names_of_any_type(spark):
     text = " ".join(f"word{k}" for k in range(60))
     docs = spark.createDataFrame([("b", text), ("a", text + " end"), ("c", "other text of its own")], "doc_id string, text string")
