@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.joins import skew_join
 from lodestrata.operators.ordered import zrank
+from lodestrata.runtime import materialize
 
 #: By name: how two values are combined along a path, and how paths are gathered.
 SEMIRINGS = {
@@ -75,19 +79,45 @@ def semiring_provenance(derivations: DataFrame, key: list[str], trust: str, sour
     return derivations.groupBy(*key).agg((F.max(trust) > 0).alias("holds"), F.count(F.lit(1)).alias("derivations"), F.max(trust).alias("viterbi"), why)
 
 
-def overlapping(intervals: DataFrame, gap: int, width: int) -> DataFrame:
+def overlapping(intervals: DataFrame, gap: int, width: int, run: int = 256, block: int = 16_384) -> DataFrame:
     """(a, b, apart): pairs of intervals (id, start, stop) that overlap or lie at most ``gap`` apart.
 
     Intervals are dealt to cells of ``width``; a pair is named by the cell of the later start, so no pair is met twice.
+    Lists meet instead of rows: at most ``run`` ids of one start and stop with as many of one start.  Only the last step
+    makes pairs of them, list by list, so columns of the result are long runs and repeats, which files hold in a small
+    part of a byte a pair.  A cell of more than ``block`` intervals is dealt to a grid of tasks, each of about a block
+    of either side; a task writes the ids of few blocks, so their dictionaries stay within Parquet's limit.
     """
-    cells = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") + gap) / width))
-    wide = intervals.select(F.col("id").alias("a"), F.col("start").alias("sa"), F.col("stop").alias("ea"), F.explode(cells).alias("cell"))
-    one = intervals.select(F.col("id").alias("b"), F.col("start").alias("sb"), F.col("stop").alias("eb"), F.floor(F.col("start") / width).alias("cell"))
-    first = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
-    near = wide.join(one, "cell").where(first & (F.col("sb") - F.col("ea") <= gap))
-    return near.select("a", "b", F.greatest(F.col("sb") - F.col("ea"), F.lit(0)).alias("apart"))
+    least = int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(intervals.count() / block))
+    ranged = intervals.where("start IS NOT NULL").select("id", "start", "stop").repartitionByRange(parts, "start", "stop", "id")
+    ranged = materialize(ranged.withColumn("i", F.spark_partition_id()), "intervals")
 
+    def lists(name: str, *key: str) -> DataFrame:
+        """Ids of equal keys, which keep nulls, in order."""
+        found = ranged.groupBy("i", *key).agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / run).cast("int")), lambda k: F.slice("ids", k * run + 1, run))
+        return found.select(*key, F.explode(cut).alias(name)).withColumn("n", F.size(name))
 
+    cells = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") + gap) / width))
+    wide = materialize(lists("as", "start", "stop").select("as", "n", F.col("start").alias("sa"), F.col("stop").alias("ea"), F.explode(cells).alias("cell")), "wide")
+    one = materialize(lists("bs", "start").select("bs", "n", F.col("start").alias("sb"), F.floor(F.col("start") / width).alias("cell")), "one")
+    counts = [x.groupBy("cell").agg(F.ceil(F.sum("n") / block).cast("int").alias(name)) for x, name in ((wide, "rows"), (one, "cols"))]
+    grid = materialize(counts[0].join(counts[1], "cell"), "grid")  # one row for each cell
+
+    def place(n: str, ids: str) -> Column:
+        return F.pmod(F.xxhash64(ids), F.col(n)).cast("int")
+
+    def copies(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = skew_join(wide, grid, "cell", ["as"]).select("cell", place("rows", "as").alias("r"), copies("cols").alias("c"), "sa", "ea", "as")
+    right = skew_join(one, grid, "cell", ["bs"]).select("cell", copies("rows").alias("r"), place("cols", "bs").alias("c"), "sb", "bs")
+    key = ["cell", "r", "c"]
+    met = right.repartition(parts, *key).join(left.repartition(parts, *key), key).where((F.col("sa") <= F.col("sb")) & (F.col("sb") - F.col("ea") <= gap))
+    near = met.select("sa", "sb", "bs", F.greatest(F.col("sb") - F.col("ea"), F.lit(0)).alias("apart"), F.inline("as").alias("a"))
+    near = near.select("sa", "sb", "a", "apart", F.inline("bs").alias("b"))
+    return near.where((F.col("sa") < F.col("sb")) | (F.col("a") < F.col("b"))).select("a", "b", "apart")
 
 
 __all__ = ["SEMIRINGS", "compressed_rows", "elementwise_or", "matrix_matrix", "matrix_vector", "overlapping", "semiring_provenance"]

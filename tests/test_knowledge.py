@@ -255,3 +255,31 @@ def test_pairs_below_a_bound_are_counted(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, expected), key=str)
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize(("run", "block"), [(256, 16_384), (3, 7)])
+def test_overlapping_intervals_meet_in_lists(spark, run, block):
+    """Equal to brute force with many equal starts, ids that repeat, nulls and a long interval; in one list and task for a cell, and in many."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, s := rng.choice([5, 5, 5, rng.randrange(-40, 40)]), s + rng.randrange(4)) for i in range(90)]
+    rows += [(7, 5, 6), (7, 5, 6), (None, 5, 5), (None, 4, 9), (200, None, 5), (201, 5, None), (202, -30, 30), (203, 9, 8), (204, 9, -60)]
+    found = matrix.overlapping(spark.createDataFrame(rows, "id long, start long, stop long"), 2, 8, run, block)
+
+    def first(a, b):
+        return a[1] < b[1] or a[1] == b[1] and None not in (a[0], b[0]) and a[0] < b[0]
+
+    placed = [r for r in rows if r[1] is not None]
+    expected = [(a[0], b[0], max(b[1] - a[2], 0)) for a in placed for b in placed if a[2] is not None and first(a, b) and b[1] - a[2] <= 2]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_pairs_of_intervals_take_little_disk(spark, tmp_path):
+    """A result that grows with the square of the intervals is written as runs and repeats: less than half a byte a pair."""
+    x = F.col("id")
+    intervals = spark.range(9000).select("id", (x * 13 % 20).alias("start"), (x * 13 % 20 + x % 5).alias("stop"))
+    matrix.overlapping(intervals, 2, 16).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert pairs > 10_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < pairs / 2
