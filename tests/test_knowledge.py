@@ -283,3 +283,52 @@ def test_pairs_of_intervals_take_little_disk(spark, tmp_path):
     pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
     assert pairs > 10_000_000
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < pairs / 2
+
+
+def _scratch_bytes(spark, run):
+    """Rows of a result and the bytes of the scratch tables that it wrote."""
+    import os
+
+    from lodestrata import runtime
+
+    runtime.release(spark)
+    rows = [tuple(r) for r in run().collect()]
+    paths = [path.removeprefix("file://") for owner, path in runtime._SCRATCH if owner is spark]
+    return rows, sum(os.path.getsize(os.path.join(folder, f)) for path in paths for folder, _, names in os.walk(path) for f in names)
+
+
+def _random_graph(nodes: int, pairs: int):
+    import numpy as np
+
+    ends = np.random.default_rng(3).integers(0, nodes, (pairs, 2))
+    return {(min(a, b), max(a, b)) for a, b in ends.tolist() if a != b}
+
+
+def test_structural_knn_keeps_little_on_disk(spark):
+    """Lists are packed: a pair takes less than 8 bytes of all scratch tables together."""
+    from lodestrata.operators import graph
+
+    pairs = _random_graph(20_000, 200_000)
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    rows, size = _scratch_bytes(spark, lambda: graph.structural_knn(edges, 1))
+    assert len(rows) == 20_000 and size < 8 * len(pairs)
+
+
+def test_structural_knn_of_any_ids(spark):
+    """Names, far apart and negative numbers, nulls, loops and repeats."""
+    from lodestrata.operators import graph
+
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 4), (None, 1), (1, None), (2, 3)]
+    for kind, ids in (("string", ["", "a", "b", "c", "d"]), ("long", [0, -(1 << 62), -1, 5, 1 << 62]), ("int", [0, 7, 8, 9, 10])):
+        edges = spark.createDataFrame([tuple(None if x is None else ids[x] for x in p) for p in pairs], f"src {kind}, dst {kind}")
+        root = 2**-0.5
+        got = {(r["u"], r["v"], r["rank"]): round(r["score"], 9) for r in graph.structural_knn(edges, 2).collect()}
+        assert got == {(ids[1], ids[3], 1): round(root, 9), (ids[3], ids[1], 1): round(root, 9), (ids[2], ids[4], 1): round(root, 9), (ids[4], ids[2], 1): round(root, 9)}
+        assert graph.structural_knn(edges.limit(0), 2).count() == 0
+
+
+def test_pairs_within_groups(spark):
+    from lodestrata.operators.packs import pairs_within
+
+    lines = spark.createDataFrame([(1, 5), (1, 3), (1, 3), (1, 9), (2, 3), (2, 5), (3, 1), (None, 1), (None, 2), (4, None)], "g long, m int")
+    assert sorted(tuple(r) for r in pairs_within(lines, "g", "m").collect()) == [(3, 5), (3, 5), (3, 9), (5, 9)]
