@@ -327,6 +327,19 @@ def test_structural_knn_of_any_ids(spark):
         assert graph.structural_knn(edges.limit(0), 2).count() == 0
 
 
+def test_link_candidates_keep_little_on_disk(spark):
+    from lodestrata.operators import retrieval
+
+    pairs = _random_graph(20_000, 200_000)
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    rows, size = _scratch_bytes(spark, lambda: retrieval.link_candidates(edges, 4))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert rows and all(len(near[a] & near[b]) == n and b not in near[a] for a, b, n in rows) and size < 8 * len(pairs)
+
+
 def test_pairs_within_groups(spark):
     from lodestrata.operators.packs import pairs_within
 
