@@ -97,6 +97,31 @@ def test_k_truss_finds_triangles_once(spark, monkeypatch, array_triangles):
     assert graph.k_truss(edges, 9, array_triangles=array_triangles).count() == 0
 
 
+@pytest.mark.parametrize("array_triangles", [60, 6_000_000])
+def test_k_truss_peels_in_ranges_without_joins(spark, monkeypatch, array_triangles):
+    """A random graph, a strip that peels from range to range and a clique: as peeled one edge at a time."""
+    import itertools
+    import random
+
+    monkeypatch.setattr(graph, "_truss_by_joins", None)
+    rng = random.Random(7)
+    pairs = {p for p in itertools.combinations(range(40), 2) if rng.random() < 0.17} | {(i, i + d) for i in range(100, 120) for d in (1, 2)}
+    pairs |= set(itertools.combinations(range(200, 205), 2))
+    kept = set(pairs)
+    while True:
+        near = {}
+        for a, b in kept:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        weak = {(a, b) for a, b in kept if len(near[a] & near[b]) < 2}
+        if not weak:
+            break
+        kept -= weak
+    assert 10 < len(kept) < len(pairs)
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    assert sorted(tuple(r) for r in graph.k_truss(edges, 4, array_triangles=array_triangles).collect()) == sorted(kept)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "id long")
